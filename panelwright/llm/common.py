@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +48,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_panelwright_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    place = Path(tempfile.mkdtemp(prefix="panelwright-")) / "panelwright.zip"
+    with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(place))
+    context._panelwright_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ``BATCH_ROWS`` unless the session asks for less."""
+    """Make the session ready for Python workers: they get the package, and Arrow batches
+    hold ``BATCH_ROWS`` rows unless the session asks for less."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import chat_format, license_scan, quality_rules, url_filter
+from panelwright.llm import bpe, chat_format, license_scan, packing, quality_rules, url_filter
 from panelwright.llm.common import table
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -28,7 +41,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filters, op5_license_scans, op8_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_bpe_encoding, op5_license_scans, op8_quality_rules, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
