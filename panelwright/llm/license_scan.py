@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import TMP, string_array, text_of
+from panelwright.llm.common import TMP, ascii_lower, string_array, text_of
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -56,13 +56,6 @@ TEMPLATES = (
 )
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased. ``lower`` is used where it gives the same words: two characters
-    beyond ASCII have ASCII in their lower case, and texts with them take the slow way."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(text.rlike("[\u0130\u212a]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
-
-
 def template_sets(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
     return [(label, sorted(set(text.split()))) for label, text in templates]
 

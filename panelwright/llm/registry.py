@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, chat_format, license_scan, packing, quality_rules, url_filter
+from panelwright.llm import bpe, chat_format, license_scan, packing, quality_rules, simhash, url_filter
 from panelwright.llm.common import table
 
 
@@ -35,13 +35,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.chat_digests(chat_format.format_chats(rows))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_bpe_encoding, op5_license_scans, op8_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_bpe_encoding, op5_license_scans, op8_quality_rules, op9_simhash_near_dedup, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,9 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import TMP, materialize
+from panelwright.llm.common import TMP, ascii_lower, materialize
 from panelwright.llm.components import connected_components
-from panelwright.llm.license_scan import ascii_lower
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
