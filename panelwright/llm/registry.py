@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import bpe, chat_format, license_scan, packing, quality_rules, simhash, url_filter
+from panelwright.llm import bpe, chat_format, flac, language_id, license_scan, packing, quality_model, quality_rules, simhash, url_filter
 from panelwright.llm.common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,6 +35,19 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where pages declare languages and have addresses."""
+    return language_id.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -45,7 +62,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_url_filters, op4_bpe_encoding, op5_license_scans, op8_quality_rules, op9_simhash_near_dedup, op10_chat_formatting)}
+    found = (
+        op1_quality_classifier,
+        op2_best_fit_packing,
+        op3_url_filters,
+        op4_bpe_encoding,
+        op5_license_scans,
+        op6_language_id,
+        op7_flac_media,
+        op8_quality_rules,
+        op9_simhash_near_dedup,
+        op10_chat_formatting,
+        language_of_pages,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

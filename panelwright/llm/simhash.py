@@ -17,7 +17,7 @@ Defined results
     null or empty text, or white space alone: fingerprint 0, linked like any other;
     under three words: one shingle of all words; repeated rows and equal texts: one
     component; null ids: a row each, never a component's id unless it has no other;
-    an empty table: no rows; further columns pass through ``near_dedup`` unchanged.
+    an empty table: no rows; further columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -91,74 +91,82 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     return df.select(*keep, fold(F.coalesce(_hashes(words), F.array().cast("array<bigint>"))).alias(name))
 
 
-def _forest(x: np.ndarray, y: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among x (y empty), or between x and y."""
-    cross = len(y) > 0
-    node = np.concatenate([x, y]).view(np.uint64)
-    side = np.r_[np.zeros(len(x), bool), np.ones(len(y), bool)]
-    rest = np.arange(len(node))
+def _near(nodes: np.ndarray, radius: int):
+    """For a bucket's fingerprints: which of ``rest`` are linked to fingerprint ``f``."""
+    bits = nodes.view(np.uint64)
+    return lambda f, rest: np.bitwise_count(bits[rest] ^ bits[f]) <= radius
+
+
+def forest(near, first: np.ndarray) -> list[tuple[int, int]]:
+    """Places of the edges of a spanning forest of the links in a bucket. Where ``first``
+    is mixed, only links between the two kinds count: the others are another task's."""
+    cross = first.any() and not first.all()
+    rest = np.arange(len(first))
     edges = []
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             f = front.pop()
-            near = np.bitwise_count(node[rest] ^ node[f]) <= radius
+            hit = near(f, rest)
             if cross:
-                near &= side[rest] != side[f]
-            if near.any():
-                new = rest[near]
-                rest = rest[~near]
-                edges += [(int(node[f].view(np.int64)), int(node[k].view(np.int64))) for k in new.tolist()]
-                front += new.tolist()
+                hit &= first[rest] != first[f]
+            if hit.any():
+                new, rest = rest[hit].tolist(), rest[~hit]
+                edges += [(f, k) for k in new]
+                front += new
     return edges
 
 
-def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """``a, b``: edges whose components are those of all links among distinct ``fp``."""
-    masks = F.array(*[F.struct(F.lit(i).alias("v"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(covering_masks(radius))])
-    keyed = prints.select("fp", F.explode(masks).alias("t")).select("fp", F.col("t.v").alias("v"), F.col("fp").bitwiseAND(F.col("t.m")).alias("key"))
+def bucket_links(keyed: DataFrame, kind: str, near_of, chunk: int = CHUNK) -> DataFrame:
+    """``a, b`` edges of all buckets of ``keyed`` (v, key, node, and data if need be).
+
+    ``near_of(rows)`` gives the link test of a bucket. Buckets of one are left out first;
+    those over ``chunk`` are dealt into chunks and each two chunks meet once.
+    """
     sizes = keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.select("v", "key", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks")), "buckets")
-    spread = keyed.join(sizes, ["v", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    spread = spread.select("v", "key", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    spread = spread.select("v", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    rest = [c for c in keyed.columns if c not in ("v", "key")]
+    spread = keyed.join(sizes, ["v", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    spread = spread.select("v", "key", "own", *rest, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    spread = spread.select("v", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
     cell = ["v", "key", "i", "j"]
-    dealt = spread.repartition(*cell).sortWithinPartitions(*cell, "own", "fp")
+    dealt = spread.repartition(*cell).sortWithinPartitions(*cell, "own", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
-        def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             keys = rows[cell].to_numpy()
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            ends = np.r_[starts[1:], len(rows)]
-            fp, own = rows["fp"].to_numpy(np.int64), rows["own"].to_numpy()
-            two = ends - starts == 2
-            p, q = fp[starts[two]], fp[starts[two] + 1]
-            near = np.bitwise_count((p ^ q).view(np.uint64)) <= radius
-            edges = [*zip(p[near].tolist(), q[near].tolist(), strict=True)]
-            for s, e in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
-                if keys[s, 2] == keys[s, 3]:
-                    edges += _forest(fp[s:e], fp[:0], radius)
-                else:
-                    first = own[s:e] == keys[s, 2]
-                    if first.any() and not first.all():
-                        edges += _forest(fp[s:e][first], fp[s:e][~first], radius)
-            return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            own, nodes, edges = rows["own"].to_numpy(), rows["node"].to_numpy(), []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+                first = own[s:e] == keys[s, 2]
+                if e - s > 1 and (keys[s, 2] == keys[s, 3] or not first.all()):
+                    edges += [(nodes[s + x], nodes[s + y]) for x, y in forest(near_of(rows.iloc[s:e]), first)]
+            if edges:
+                yield pd.DataFrame(edges, columns=["a", "b"])
 
         for b in batches:
             rows = b if held is None else pd.concat([held, b], ignore_index=True)
             if not len(rows):
                 continue
             last = (rows[cell] == rows[cell].iloc[-1]).all(axis=1).to_numpy()
-            k = len(rows) if not last.any() else int(np.flatnonzero(last)[0])
+            k = int(np.flatnonzero(last)[0])
             if k:
-                yield solve(rows.iloc[:k])
-            held = rows.iloc[k:]
+                yield from solve(rows.iloc[:k])
+            held = rows.iloc[k:].reset_index(drop=True)
         if held is not None and len(held):
-            yield solve(held)
+            yield from solve(held)
+
+    return dealt.mapInPandas(run, f"a {kind}, b {kind}")
 
-    return dealt.mapInPandas(run, "a long, b long")
+
+def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """``a, b``: edges whose components are those of all links among distinct ``fp``."""
+    masks = F.array(*[F.struct(F.lit(i).alias("v"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(covering_masks(radius))])
+    keyed = prints.select("fp", F.explode(masks).alias("t"))
+    keyed = keyed.select(F.col("fp").alias("node"), F.col("t.v").alias("v"), F.col("fp").bitwiseAND(F.col("t.m")).alias("key"))
+    return bucket_links(keyed, "long", lambda rows: _near(rows["node"].to_numpy(np.int64), radius), chunk)
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -177,23 +185,3 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
     names = least.groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: the one with the least id; the same
-    columns. Rows that share id and component are one document, and one of them stays."""
-    prints, roots = classes(docs, text_col, id_col, radius)
-    id_ = F.col("doc_id")
-    best = prints.groupBy("fp").agg(F.min(F.struct(id_.isNull().alias("none"), id_.alias("doc_id"), "fp")).alias("best")).join(roots, "fp")
-    kept = materialize(best.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.fp"), "kept")
-    ids = kept.select(F.col("doc_id").alias(f"{TMP}id")).distinct()
-    chosen = docs.join(ids, docs[id_col].eqNullSafe(ids[f"{TMP}id"]), "left_semi")
-    repeated = materialize(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(f"{TMP}id")), "repeated")
-    if repeated.isEmpty():
-        return chosen
-    # an id with several rows: which of them stay depends on their fingerprints
-    same = chosen[id_col].eqNullSafe(repeated[f"{TMP}id"])
-    simple, several = chosen.join(repeated, same, "left_anti"), chosen.join(repeated, same, "left_semi")
-    several = fingerprints(several, text_col, tuple(docs.columns), f"{TMP}fp")
-    several = several.join(kept, several[id_col].eqNullSafe(kept["doc_id"]) & (several[f"{TMP}fp"] == kept["fp"]), "left_semi")
-    return simple.unionByName(several.dropDuplicates([id_col, f"{TMP}fp"]).select(*docs.columns))
