@@ -117,16 +117,19 @@ def forest(near, first: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def bucket_links(keyed: DataFrame, kind: str, near_of, chunk: int = CHUNK) -> DataFrame:
-    """``a, b`` edges of all buckets of ``keyed`` (v, key, node, and data if need be).
+def bucket_links(keyed: DataFrame, kind: str, near_of, chunk: int = CHUNK, data: DataFrame | None = None) -> DataFrame:
+    """``a, b`` edges of all buckets of ``keyed`` (v, key, node). ``data`` (node, data) is
+    what the link test needs beyond the node; only members of shared buckets get it.
 
     ``near_of(rows)`` gives the link test of a bucket. Buckets of one are left out first;
     those over ``chunk`` are dealt into chunks and each two chunks meet once.
     """
     sizes = keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.select("v", "key", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks")), "buckets")
-    rest = [c for c in keyed.columns if c not in ("v", "key")]
-    spread = keyed.join(sizes, ["v", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    spread, rest = keyed.join(sizes, ["v", "key"]), ["node"]
+    if data is not None:
+        spread, rest = spread.join(data, "node"), ["node", "data"]
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = spread.select("v", "key", "own", *rest, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     spread = spread.select("v", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
     cell = ["v", "key", "i", "j"]
