@@ -85,29 +85,30 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max())
+    return e / e.sum()
+
+
 def text_evidence(text_col: str, log_p: np.ndarray) -> Column:
-    """Tempered log-likelihood of the text in each language; null without trigrams."""
+    """``ll``, the tempered log-likelihood of the text in each language, and ``p``, the
+    same as shares; null without trigrams."""
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("ll array<double>, p array<double>")
+    def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             g = trigrams(t)
-            if not len(g) or not len(log_p):
-                out.append(None)
+            if not len(g):
+                out.append((None, None))
                 continue
             ll = log_p @ np.bincount(g, minlength=BUCKETS) * (TEMPER * min(1.0, MOST / len(g)))
-            out.append((ll - ll.max()).tolist())
-        return pd.Series(out, dtype=object)
+            out.append(((ll - ll.max()).tolist(), softmax(ll).tolist()))
+        return pd.DataFrame(out, columns=["ll", "p"], dtype=object)
 
     return run(F.col(text_col))
 
 
-def _softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, w: a + w))
-
-
 def _sums(df: DataFrame, by: list[str], n: int) -> DataFrame:
     total = F.array(*[F.sum(F.col("p")[i]) for i in range(n)])
     return df.where(F.col("p").isNotNull()).groupBy(*by).agg(total.alias("s"))
@@ -135,29 +136,36 @@ def evidence_tables(rows: DataFrame, n: int) -> dict[str, DataFrame]:
 
 
 def _decide(df: DataFrame, tables: dict[str, DataFrame], langs: list[str]) -> DataFrame:
-    """``df`` (with ``ll``, host, declared and suffix under internal names) and the decision."""
-    n = len(langs)
-    host, declared, suffix, ll = (f"{TMP}in_{x}" for x in ("host", "declared", "suffix", "ll"))
+    """``df`` (with the evidence under internal names) and the decision."""
+    host, declared, suffix, text = (f"{TMP}in_{x}" for x in ("host", "declared", "suffix", "text"))
     for c, at in (("declared", declared), ("suffix", suffix)):
         df = df.join(tables[c], F.col(at) == F.col(f"{TMP}{c}"), "left")
     df = df.join(tables["host"], (F.col(host) == F.col(f"{TMP}host")) & F.col(suffix).eqNullSafe(F.col(f"{TMP}of")), "left")
-    zero = F.array(*[F.lit(0.0)] * n)
-    own = F.coalesce(_softmax(F.col(ll)), zero)
-    left = F.zip_with(F.col(f"{TMP}host_e.s"), own, lambda s, p: F.greatest(s - p, F.lit(0.0)))
-    total = F.aggregate(left, F.lit(0.0), lambda a, v: a + v)
-    prior = F.zip_with(left, F.col(f"{TMP}host_e.prior"), lambda s, a: F.log((s + HOST * a) / (total + HOST)))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    evidence = add(add(F.coalesce(ll, zero), F.coalesce(f"{TMP}declared_e", zero)), add(F.coalesce(f"{TMP}suffix_e", zero), F.coalesce(prior, zero)))
-    known = F.col(ll).isNotNull() | F.col(f"{TMP}declared_e").isNotNull()
-    df = df.withColumn(f"{TMP}post", F.when(known, _softmax(evidence)))
-    best = F.array_max(f"{TMP}post")
-    lang = F.get(F.array(*[F.lit(x) for x in langs]), (F.array_position(f"{TMP}post", best) - 1).cast("int"))
-    sure = F.coalesce(best >= CONFIDENT, F.lit(False))
-    return df.withColumns({f"{TMP}lang": F.when(sure, lang).otherwise(UNKNOWN), f"{TMP}conf": F.coalesce(best, F.lit(0.0))})
+    n = len(langs)
+
+    @F.pandas_udf("lang string, conf double")
+    def fused(ll: pd.Series, p: pd.Series, says: pd.Series, at: pd.Series, sums: pd.Series, prior: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, own, d, a, s, w in zip(ll, p, says, at, sums, prior, strict=True):
+            if x is None and d is None:
+                out.append((UNKNOWN, 0.0))
+                continue
+            e = sum((np.asarray(v) for v in (x, d, a) if v is not None), np.zeros(n))
+            if s is not None:
+                left = np.maximum(np.asarray(s) - (0.0 if own is None else np.asarray(own)), 0.0)
+                e = e + np.log((left + HOST * np.asarray(w)) / (left.sum() + HOST))
+            post = softmax(e)
+            best = int(post.argmax())
+            out.append((langs[best] if post[best] >= CONFIDENT else UNKNOWN, float(post[best])))
+        return pd.DataFrame(out, columns=["lang", "conf"])
+
+    given = (f"{text}.ll", f"{text}.p", f"{TMP}declared_e", f"{TMP}suffix_e", f"{TMP}host_e.s", f"{TMP}host_e.prior")
+    df = df.withColumn(f"{TMP}fused", fused(*[F.col(x) for x in given]))
+    return df.withColumns({f"{TMP}lang": F.col(f"{TMP}fused.lang"), f"{TMP}conf": F.col(f"{TMP}fused.conf")})
 
 
 def prepare(df: DataFrame, log_p: np.ndarray, text: str, host: Column, declared: Column, suffix: Column) -> DataFrame:
-    return df.withColumns({f"{TMP}in_host": host, f"{TMP}in_declared": F.lower(declared), f"{TMP}in_suffix": F.lower(suffix), f"{TMP}in_ll": text_evidence(text, log_p)})
+    return df.withColumns({f"{TMP}in_host": host, f"{TMP}in_declared": F.lower(declared), f"{TMP}in_suffix": F.lower(suffix), f"{TMP}in_text": text_evidence(text, log_p)})
 
 
 def fuse(df: DataFrame, model: tuple[list[str], np.ndarray], text: str, host: Column, declared: Column, suffix: Column, keep: tuple[str, ...], texts_too: bool = False) -> DataFrame:
@@ -167,10 +175,10 @@ def fuse(df: DataFrame, model: tuple[list[str], np.ndarray], text: str, host: Co
     bounded_batches(df.sparkSession)
     if not langs:
         return df.select(*keep).withColumns({f"{TMP}lang": F.lit(UNKNOWN), f"{TMP}conf": F.lit(0.0)})
-    inner = [f"{TMP}in_{x}" for x in ("host", "declared", "suffix", "ll")]
+    inner = [f"{TMP}in_{x}" for x in ("host", "declared", "suffix", "text")]
     given = prepare(df, log_p, text, host, declared, suffix)
     lean = materialize(given.select(*(() if texts_too else keep), *inner), "evidence")
-    rows = lean.select(*[F.col(x).alias(x.removeprefix(f"{TMP}in_")) for x in inner[:3]], _softmax(F.col(inner[3])).alias("p"))
+    rows = lean.select(*[F.col(x).alias(x.removeprefix(f"{TMP}in_")) for x in inner[:3]], F.col(f"{inner[3]}.p").alias("p"))
     return _decide(given if texts_too else lean, evidence_tables(rows, len(langs)), langs)
 
 
@@ -179,7 +187,8 @@ def suffix_of(host: Column) -> Column:
 
 
 def declared_in(html: Column) -> Column:
-    return F.nullif(F.regexp_extract(html, MARKUP, 1), F.lit(""))
+    marked = html.contains("<html") | html.contains("<HTML") | html.contains("<Html")
+    return F.when(marked, F.nullif(F.regexp_extract(html, MARKUP, 1), F.lit("")))
 
 
 def model_of(docs: DataFrame) -> tuple[list[str], np.ndarray]:
