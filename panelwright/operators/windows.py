@@ -172,7 +172,9 @@ def ewm(df: DataFrame, span: float, func: str = "mean") -> DataFrame:
         mean = F.when(F.col(f"__c_{c}") > 0, F.col(f"__x_{c}") / weight)
         if func == "mean":
             return mean
-        spread = F.greatest(F.col(f"__y_{c}") / weight - mean * mean, F.lit(0.0))
+        square = F.col(f"__y_{c}") / weight
+        spread = square - mean * mean
+        spread = F.when(spread > 1e-13 * square, spread).otherwise(0.0)  # below, it is rounding
         var = F.when(F.col(f"__c_{c}") > 1, spread * weight * weight / F.nullif(weight * weight - F.col(f"__v_{c}"), F.lit(0.0)))
         return var if func == "var" else F.sqrt(var)
 
