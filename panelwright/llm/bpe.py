@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import TMP, bounded_batches
 
-CACHE = 400_000
+CACHE = 100_000
 END = "</w>"
 #: Texts with one of these go through the library's own normalizer and word splitter:
 #: beyond U+024F lower case, composition and white space are not those of Python.
@@ -54,13 +54,13 @@ class ChunkEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.spec = json.loads(content)
+        spec = json.loads(content)
         self.decode = decode
-        self.vocab: dict[str, int] = self.spec["model"]["vocab"]
+        self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.library = Tokenizer.from_str(content)
-        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        pattern = next(p["pattern"]["Regex"] for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.symbols = byte_symbols()
         self.text = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -120,7 +120,7 @@ class PrefixEncoder(ChunkEncoder):
         import ahocorasick
 
         super().__init__(content, decode)
-        pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in self.spec["model"]["merges"]]
+        pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in json.loads(content)["model"]["merges"]]
         self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(pairs)}
         made = {self.vocab[a + b]: (r, self.vocab[a], self.vocab[b]) for r, (a, b) in enumerate(pairs)}
         if len(made) != len(pairs) or any(made.get(x, (-1,))[0] > r for r, a, b in made.values() for x in (a, b)):
@@ -151,7 +151,7 @@ class PrefixEncoder(ChunkEncoder):
         key = a << 32 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) >= 4 * CACHE:
+            if len(self.fits) >= 8 * CACHE:
                 self.fits.clear()
             found = self.fits[key] = self._meet(a, b) is None
         return found

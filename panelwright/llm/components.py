@@ -31,7 +31,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-        near = materialize(near, "near")
         jump = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
         to = materialize(near.join(jump, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "to")
         maps.append(to)

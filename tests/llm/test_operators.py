@@ -286,7 +286,7 @@ def test_flac_round_trip_and_checks():
             sub = flac._subframe(f)
             if sub["plain"] is None:
                 assert (flac._residuals_alone(f, sub) == flac._residuals([f], [sub])[0]).all()
-    for at in (-1, -100, 50, 9):
+    for at in (-1, -100, 50):
         bad = bytearray(media[2])
         bad[at] ^= 4
         with pytest.raises(ValueError):
