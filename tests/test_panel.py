@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import asyncio
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -308,7 +308,7 @@ def test_streaming_into_store(spark, tmp_path):
     from panelwright.streaming.ingest import daily, into_store
 
     source, store = str(tmp_path / "in"), PanelStore(spark, str(tmp_path / "out"), "month")
-    rows = [(pd.Timestamp(2024, 1, k, 12), i, 1.5 * k) for k in (1, 2, 3) for i in (1, 2)]
+    rows = [(datetime(2024, 1, k, 12), i, 1.5 * k) for k in (1, 2, 3) for i in (1, 2)]
     spark.createDataFrame(rows, "ts timestamp, user long, value double").write.parquet(source)
     stream = spark.readStream.schema("ts timestamp, user long, value double").parquet(source)
     query = into_store(daily(stream, "ts", "user", "value"), store, str(tmp_path / "cp"))
