@@ -117,7 +117,8 @@ class DayList(Calendar):
         return F.filter(listed, lambda d: (d >= low) & (d <= high))
 
     def shift(self, df: DataFrame, n: int) -> DataFrame:
-        moved = [(d, self.offset(d, n)) for d in self.listed if 0 <= self.listed.index(d) + n < len(self.listed)]
+        size = len(self.listed)
+        moved = [(d, self.listed[i + n]) for i, d in enumerate(self.listed) if 0 <= i + n < size]
         to = df.sparkSession.createDataFrame(moved, "__from date, __to date")
         joined = df.join(F.broadcast(to), F.col(DATE) == F.col("__from"), "inner")
         return joined.withColumn(DATE, F.col("__to")).select(*df.columns)

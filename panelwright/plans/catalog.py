@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable
 from datetime import date
@@ -225,11 +226,12 @@ def _register_calendars() -> None:
 
 
 def _stored(spark: SparkSession, chunk_by: str = "month") -> PanelStore:
+    """A new store in the folder that the session shares; a temporary one where it names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelwright-")
-    return PanelStore(spark, tempfile.mkdtemp(dir=None, prefix="store-") if "://" not in base and not base.startswith("/") else f"{base.rstrip('/')}/store-{spark.sparkContext.applicationId}-{next(_COUNT)}", chunk_by)
+    return PanelStore(spark, f"{base.rstrip('/')}/panel-store-{spark.sparkContext.applicationId}-{next(_COUNT)}", chunk_by)
 
 
-_COUNT = iter(range(10**9))
+_COUNT = itertools.count()
 
 
 def _register_store() -> None:
