@@ -367,3 +367,27 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     rows += [(30 + i, prose(50 + i, 300), "en", "b") for i in range(10)] + [(None, prose(99, 50), "en", "b"), (None, " ".join(base), "en", "c"), (50, None, "en", "c"), (51, "", "en", "c"), (30, prose(77, 80), "en", "d")]
     kept = near_dedup.near_dedup(docs_of(spark, rows)).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == sorted(["10", *[str(30 + i) for i in range(10)], "None", "50", "30"])
+
+
+@pytest.mark.parametrize("chunk", [near_dedup.CHUNK, 2])
+def test_near_dedup_equals_brute_force_near_the_threshold(spark, monkeypatch, chunk):
+    """Pairs from 0.76 to 0.85, and groups whose copies are alike through their base only."""
+    monkeypatch.setattr(near_dedup.similar_links, "__defaults__", (chunk,))
+    r, texts = random.Random(31), []
+    for i in range(48):
+        base = prose(700 + i, 300).split()
+        texts.append(base)
+        for c in range(1 if i % 4 else 4):
+            places = r.sample(range(5, 295, 6), 5 + i // 4 % 4)
+            texts.append([f"new{i}.{c}.{k}" if k in places else w for k, w in enumerate(base)])
+    r.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    kept = near_dedup.near_dedup(docs_of(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(set(root))
+    assert len(texts) // 3 < len(kept) < len(texts)
