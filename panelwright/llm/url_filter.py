@@ -33,6 +33,7 @@ CANONICAL = (
     r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*\brel\s*=\s*[\"']?canonical\b",
 )
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+REFRESH_LAST = r"(?is)<meta\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
 
 
@@ -62,10 +63,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return pick(lambda r: r[0] + r[1]), pick(lambda r: r[2])
 
 
-def _href(html: Column) -> Column:
-    """What the page names as its own or next address, as it stands there."""
-    tries = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (*CANONICAL, REFRESH)]
-    return F.replace(F.coalesce(*tries), F.lit("&amp;"), F.lit("&"))
+def _hrefs(html: Column) -> Column:
+    """All that the page names as its own or next addresses, as they stand there."""
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (*CANONICAL, REFRESH, REFRESH_LAST)])
+    return F.array_distinct(F.transform(found, lambda h: F.replace(h, F.lit("&amp;"), F.lit("&"))))
 
 
 def _absolute(href: Column, scheme: Column, site: Column, path: Column) -> Column:
@@ -84,9 +85,9 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     The pages that name an address are written first: they are few, and their urls are
     then taken apart once.
     """
-    named = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", _href(F.col("html")).alias("href"))
+    named = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(_hrefs(F.col("html"))).alias("href"))
     named, url = materialize(named, "named"), F.col("url")
-    named = named.where("href is not null").select(
+    named = named.select(
         "href", node_of(url).alias("a"), F.regexp_extract(url, r"(?s)^(.*?)://", 1).alias("scheme"),
         F.regexp_extract(url, URL, 1).alias("site"), path_of(url).alias("path"),
     )

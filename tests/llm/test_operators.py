@@ -185,6 +185,17 @@ def test_url_classes(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
 
 
+def test_url_classes_follow_every_link(spark):
+    """A page with a canonical link and a refresh, two refreshes, and content before http-equiv."""
+    rows = [
+        (1, "http://a.org/x", "<link rel=canonical href='http://b.org/y'><meta http-equiv=refresh content='0;url=http://evil.net/'>"), (2, "http://b.org/y", None),
+        (3, "http://c.org/x", '<meta content="0;url=http://evil.net/" http-equiv="refresh">'),
+        (4, "http://d.org/x", '<meta http-equiv="refresh" content="0;url=/y"><meta http-equiv="refresh" content="9;url=http://evil.net/">'),
+    ]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == dict.fromkeys((1, 2, 3, 4), "block")
+
+
 def test_components_of_random_graphs(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(500, 501 + k) for k in range(300)] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7), (None, 3)]
