@@ -1,13 +1,13 @@
 """FLAC media: lossless 8-bit mono streams, written, verified and read as PCM blocks.
 
-A payload byte is a sample (less 128). Frames hold ``BLOCK`` samples; each takes the
+A payload byte is a sample (less 128). Packets hold ``BLOCK`` samples; each takes the
 cheapest of fixed predictors and a quantised linear predictor, and Rice-coded residuals.
-A seek table names every frame, so any block can be decoded alone. Reading checks the
-CRC-8 of each header, the CRC-16 of each frame and the stream's MD5.
+A seek table names every packet, so any block can be decoded alone. Reading checks the
+CRC-8 of each header, the CRC-16 of each packet and the stream's MD5.
 
-Frames are independent, so both directions work on many frames in step: one array
-operation handles the same sample of every frame at hand. Frames of many documents, or
-parts of a long one, go through in runs of ``RUN`` frames, which bounds memory.
+Packets are independent, so both directions work on many packets in step: one array
+operation handles the same sample of every packet at hand. Packets of many documents, or
+parts of a long one, go through in runs of ``RUN`` packets, which bounds memory.
 
 Defined results
     null or empty text: a payload of 64 zero bytes; very long texts: stored whole;
@@ -79,7 +79,7 @@ def crc16(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _number(n: int) -> bytes:
-    """A frame number in the format's extension of UTF-8."""
+    """A packet number in the format's extension of UTF-8."""
     if n < 0x80:
         return bytes([n])
     k = next(k for k in range(1, 7) if n < 1 << (6 * k + (6 - k)))
@@ -95,7 +95,7 @@ def _header(number: int, size: int) -> bytes:
 
 
 def _predictors(s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Quantised order-2 coefficients and shifts from the autocorrelation of each frame."""
+    """Quantised order-2 coefficients and shifts from the autocorrelation of each packet."""
     x = np.where(np.arange(s.shape[1]) < sizes[:, None], s, 0).astype(np.float64)
     r0, r1, r2 = (x * x).sum(1), (x[:, 1:] * x[:, :-1]).sum(1), (x[:, 2:] * x[:, :-2]).sum(1)
     det = np.where(r0 * r0 - r1 * r1 > 1e-6 * r0 * r0 + 1e-9, r0 * r0 - r1 * r1, np.inf)
@@ -106,7 +106,7 @@ def _predictors(s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _rice(residual: np.ndarray, order: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded residuals, the Rice parameter and the bits for each frame."""
+    """Folded residuals, the Rice parameter and the bits for each packet."""
     inside = (np.arange(residual.shape[1]) >= order) & (np.arange(residual.shape[1]) < sizes[:, None])
     u = np.where(inside, residual << 1 ^ residual >> 63, 0)
     n = sizes - order
@@ -115,8 +115,8 @@ def _rice(residual: np.ndarray, order: int, sizes: np.ndarray) -> tuple[np.ndarr
     return u, np.where(cost[1] < cost[0], low + 1, low), np.minimum(*cost)
 
 
-def encode_frames(blocks: list[np.ndarray], numbers: list[int]) -> list[bytes]:
-    """Frames of the sample blocks (int8, at least 64 samples each)."""
+def encode_packets(blocks: list[np.ndarray], numbers: list[int]) -> list[bytes]:
+    """Packets of the sample blocks (int8, at least 64 samples each)."""
     sizes = np.array([len(b) for b in blocks])
     s = np.zeros((len(blocks), int(sizes.max())), np.int64)
     for i, b in enumerate(blocks):
@@ -131,7 +131,7 @@ def encode_frames(blocks: list[np.ndarray], numbers: list[int]) -> list[bytes]:
     choice = np.argmin(np.stack([rice[c][2] + extra[c] for c in range(4)]), axis=0)
     heads = [_header(n, int(z)) for n, z in zip(numbers, sizes, strict=True)]
     head_bits = np.array([8 * len(h) for h in heads])
-    # header, subframe header, what the predictor needs, method and partition order, parameter
+    # header, subpacket header, what the predictor needs, method and partition order, parameter
     lead = head_bits + 8 + np.array([extra[c] for c in range(4)])[choice] + 2 + 4 + 4
     total = lead + np.stack([rice[c][2] for c in range(4)])[choice, np.arange(len(blocks))]
     size_bytes = -(-total // 8)
@@ -179,14 +179,14 @@ def encode_frames(blocks: list[np.ndarray], numbers: list[int]) -> list[bytes]:
     return [raw[a : a + n + 2] for a, n in zip(first.tolist(), size_bytes.tolist(), strict=True)]
 
 
-def container(payload: bytes, frames: list[bytes]) -> bytes:
-    """Marker, stream information and seek table, then the frames."""
+def container(payload: bytes, packets: list[bytes]) -> bytes:
+    """Marker, stream information and seek table, then the packets."""
     samples = (np.frombuffer(payload, np.uint8).astype(np.int16) - 128).astype(np.int8)
-    n, sizes = len(payload), [len(f) for f in frames]
+    n, sizes = len(payload), [len(f) for f in packets]
     info = struct.pack(">HH", min(BLOCK, n), min(BLOCK, n)) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
     info += (RATE << 44 | 0 << 41 | 7 << 36 | n).to_bytes(8, "big") + hashlib.md5(samples.tobytes()).digest()
     at, points = 0, []
-    for i, f in enumerate(frames):
+    for i, f in enumerate(packets):
         points.append(struct.pack(">QQH", i * BLOCK, at, min(BLOCK, n - i * BLOCK)))
         at += len(f)
     # a metadata block holds under 2^24 bytes: longer seek tables take several
@@ -195,17 +195,17 @@ def container(payload: bytes, frames: list[bytes]) -> bytes:
     head = b"fLaC\x00" + len(info).to_bytes(3, "big") + info
     for i, t in enumerate(tables):
         head += bytes([0x83 if i == len(tables) - 1 else 0x03]) + len(t).to_bytes(3, "big") + t
-    return head + b"".join(frames)
+    return head + b"".join(packets)
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A stream for each payload."""
     blocks, numbers, owner = [], [], []
-    frames: list[list[bytes]] = [[] for _ in payloads]
+    packets: list[list[bytes]] = [[] for _ in payloads]
 
     def flush() -> None:
-        for o, f in zip(owner, encode_frames(blocks, numbers) if blocks else [], strict=True):
-            frames[o].append(f)
+        for o, f in zip(owner, encode_packets(blocks, numbers) if blocks else [], strict=True):
+            packets[o].append(f)
         blocks.clear(), numbers.clear(), owner.clear()
 
     for o, p in enumerate(payloads):
@@ -217,7 +217,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
             if len(blocks) == RUN:
                 flush()
     flush()
-    return [container(p, f) for p, f in zip(payloads, frames, strict=True)]
+    return [container(p, f) for p, f in zip(payloads, packets, strict=True)]
 
 
 class _Bits:
@@ -227,13 +227,13 @@ class _Bits:
     def take(self, n: int, signed: bool = False) -> int:
         self.left -= n
         if self.left < 0:
-            raise ValueError("FLAC: the frame ends early")
+            raise ValueError("FLAC: the packet ends early")
         x = self.value >> self.left & ((1 << n) - 1)
         return x - (1 << n) if signed and n and x >> (n - 1) else x
 
 
 def stream_info(media: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], int]:
-    """(samples, MD5, seek points, where frames begin)."""
+    """(samples, MD5, seek points, where packets begin)."""
     if media[:4] != b"fLaC":
         raise ValueError("FLAC: no marker")
     at, last, n, md5, points = 4, False, 0, b"", []
@@ -251,33 +251,33 @@ def stream_info(media: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], i
     return n, md5, points, at
 
 
-def _subframe(frame: bytes) -> dict:
-    """What stands before the residuals of a frame; the header's checksum is verified."""
-    if frame[0] != 0xFF or frame[1] & 0xFE != 0xF8:
-        raise ValueError("FLAC: a frame does not begin where the seek table says")
+def _subpacket(packet: bytes) -> dict:
+    """What stands before the residuals of a packet; the header's checksum is verified."""
+    if packet[0] != 0xFF or packet[1] & 0xFE != 0xF8:
+        raise ValueError("FLAC: a packet does not begin where the seek table says")
     at = 4
-    lead = frame[at]
+    lead = packet[at]
     at += 1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length()
-    code, rate = frame[2] >> 4, frame[2] & 15
+    code, rate = packet[2] >> 4, packet[2] & 15
     if code in (6, 7):
-        size = int.from_bytes(frame[at : at + code - 5], "big") + 1
+        size = int.from_bytes(packet[at : at + code - 5], "big") + 1
         at += code - 5
     else:
         size = 192 if code == 1 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
     at += 1 if rate == 12 else 2 if rate in (13, 14) else 0
-    if crc8(frame[:at]) != frame[at]:
-        raise ValueError("FLAC: wrong checksum of a frame header")
+    if crc8(packet[:at]) != packet[at]:
+        raise ValueError("FLAC: wrong checksum of a packet header")
     at += 1
-    kind, wasted = frame[at] >> 1 & 63, frame[at] & 1
+    kind, wasted = packet[at] >> 1 & 63, packet[at] & 1
     if wasted:
         raise ValueError("FLAC: wasted bits are not read")
     out = {"size": size, "at": 8 * (at + 1), "order": 0, "coefs": (), "shift": 0, "warm": (), "plain": None}
     if kind < 2:
         n = 1 if kind == 0 else size
-        values = np.frombuffer(frame[at + 1 : at + 1 + n], np.int8)
+        values = np.frombuffer(packet[at + 1 : at + 1 + n], np.int8)
         return out | {"plain": np.full(size, values[0], np.int8) if kind == 0 else values}
     order = kind & 7 if kind < 16 else (kind & 31) + 1
-    b = _Bits(frame[at + 1 : at + 1 + order + (2 + 2 * order + 1 if kind >= 32 else 0) + 4])
+    b = _Bits(packet[at + 1 : at + 1 + order + (2 + 2 * order + 1 if kind >= 32 else 0) + 4])
     start = b.left
     warm = [b.take(8, True) for _ in range(order)]
     coefs, shift = FIXED[order] if kind < 16 else (), 0
@@ -288,9 +288,9 @@ def _subframe(frame: bytes) -> dict:
     return out | {"at": 8 * (at + 1) + start - b.left, "order": order, "coefs": coefs, "shift": shift, "warm": warm, "method": method, "parts": parts}
 
 
-def _residuals_alone(frame: bytes, sub: dict) -> np.ndarray:
-    """Residuals of one frame, bit by bit; knows escaped partitions."""
-    b = _Bits(frame)
+def _residuals_alone(packet: bytes, sub: dict) -> np.ndarray:
+    """Residuals of one packet, bit by bit; knows escaped partitions."""
+    b = _Bits(packet)
     b.take(sub["at"])
     out, wide = [], 4 + sub["method"]
     for part in range(1 << sub["parts"]):
@@ -309,13 +309,13 @@ def _residuals_alone(frame: bytes, sub: dict) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _residuals(frames: list[bytes], subs: list[dict]) -> list[np.ndarray]:
-    """Residuals of frames in step. Frames stand in order of falling count, so those still
+def _residuals(packets: list[bytes], subs: list[dict]) -> list[np.ndarray]:
+    """Residuals of packets in step. Packets stand in order of falling count, so those still
     running are always the first ones."""
     counts = np.array([s["size"] - s["order"] for s in subs])
     rank = np.argsort(-counts, kind="stable")
-    data = np.frombuffer(b"".join(frames) + bytes(8), np.uint8)
-    starts = np.cumsum([0] + [len(f) for f in frames[:-1]])
+    data = np.frombuffer(b"".join(packets) + bytes(8), np.uint8)
+    starts = np.cumsum([0] + [len(f) for f in packets[:-1]])
     bits = np.unpackbits(data)
     # the place of the next 1 at or after each bit
     nxt = np.where(bits, np.arange(len(bits), dtype=np.int32), np.int32(len(bits) - 1))
@@ -352,28 +352,28 @@ def _residuals(frames: list[bytes], subs: list[dict]) -> list[np.ndarray]:
     found: list[np.ndarray] = [np.empty(0)] * len(subs)
     for col, i in enumerate(rank.tolist()):
         if escaped[col]:
-            found[i] = _residuals_alone(frames[i], subs[i])
-        elif pos[col] > 8 * (starts[i] + len(frames[i])):
-            raise ValueError("FLAC: the residuals overrun their frame")
+            found[i] = _residuals_alone(packets[i], subs[i])
+        elif pos[col] > 8 * (starts[i] + len(packets[i])):
+            raise ValueError("FLAC: the residuals overrun their packet")
         else:
             found[i] = out[: counts[i], col]
     return found
 
 
-def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
-    """Samples (int8) of whole frames; every checksum is verified."""
-    data = np.frombuffer(b"".join(frames), np.uint8)
-    ends = np.cumsum([len(f) for f in frames])
-    starts = ends - [len(f) for f in frames]
+def decode_packets(packets: list[bytes]) -> list[np.ndarray]:
+    """Samples (int8) of whole packets; every checksum is verified."""
+    data = np.frombuffer(b"".join(packets), np.uint8)
+    ends = np.cumsum([len(f) for f in packets])
+    starts = ends - [len(f) for f in packets]
     sums = crc16(data, starts, ends - 2)
     if (sums != (data[ends - 2].astype(np.uint16) << 8 | data[ends - 1])).any():
-        raise ValueError("FLAC: wrong checksum of a frame")
-    subs = [_subframe(f) for f in frames]
+        raise ValueError("FLAC: wrong checksum of a packet")
+    subs = [_subpacket(f) for f in packets]
     out: list[np.ndarray] = [s["plain"] for s in subs]
     coded = [i for i, s in enumerate(subs) if s["plain"] is None]
     if not coded:
         return out
-    residuals = dict(zip(coded, _residuals([frames[i] for i in coded], [subs[i] for i in coded]), strict=True))
+    residuals = dict(zip(coded, _residuals([packets[i] for i in coded], [subs[i] for i in coded]), strict=True))
     groups: dict[tuple[int, int], list[int]] = {}
     for i in coded:
         groups.setdefault((subs[i]["order"], subs[i]["size"]), []).append(i)
@@ -393,11 +393,11 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def frames_of(media: bytes) -> tuple[list[int], list[bytes], bytes]:
-    """(sample offsets, frames, MD5) by the seek table, which has to name every frame."""
+def packets_of(media: bytes) -> tuple[list[int], list[bytes], bytes]:
+    """(sample offsets, packets, MD5) by the seek table, which has to name every packet."""
     n, md5, points, begin = stream_info(media)
     if sum(p[2] for p in points) != n or [p[0] for p in points] != list(np.cumsum([0, *[p[2] for p in points[:-1]]])):
-        raise ValueError("FLAC: the seek table does not name every frame")
+        raise ValueError("FLAC: the seek table does not name every packet")
     at = [begin + p[1] for p in points] + [len(media)]
     return [p[0] for p in points], [media[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], md5
 
@@ -412,15 +412,15 @@ def decode(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
     def flush() -> None:
         if not held:
             return
-        for (o, at, _), x in zip(held, decode_frames([f for _, _, f in held]), strict=True):
+        for (o, at, _), x in zip(held, decode_packets([f for _, _, f in held]), strict=True):
             sums[o].update(x.tobytes())
             out[o].append((at, (x.astype(np.int16) + 128).astype(np.uint8).tobytes()))
         held.clear()
 
     for o, m in enumerate(media):
-        offsets, frames, md5 = frames_of(m)
+        offsets, packets, md5 = packets_of(m)
         md5s.append(md5)
-        for at, f in zip(offsets, frames, strict=True):
+        for at, f in zip(offsets, packets, strict=True):
             held.append((o, at, f))
             if len(held) == RUN:
                 flush()
@@ -457,7 +457,7 @@ def encode_column(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep, block, sample_offset, n_samples, pcm`` of every frame of ``media``; the
+    """``keep, block, sample_offset, n_samples, pcm`` of every packet of ``media``; the
     offset is where to seek."""
     bounded_batches(media.sparkSession)
 

@@ -68,9 +68,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         if sums:
             yield pd.DataFrame({"part": [n] * len(sums), "lang": [*sums], "counts": [s.tobytes() for s in sums.values()]})
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s, np.int64) for s in frame["counts"])
-        return pd.DataFrame({"part": [int(frame["part"].min()) // FAN_IN], "lang": [str(frame["lang"].iloc[0])], "counts": [total.tobytes()]})
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(s, np.int64) for s in parts["counts"])
+        return pd.DataFrame({"part": [int(parts["part"].min()) // FAN_IN], "lang": [str(parts["lang"].iloc[0])], "counts": [total.tobytes()]})
 
     sums = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null").mapInPandas(part, kind)
     for _ in range(2):

@@ -107,9 +107,9 @@ def moments(rows: DataFrame) -> dict[bool, np.ndarray]:
                 sums[1] += good.T @ good
         yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [sums.tobytes()]})
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s) for s in frame["sums"])
-        return pd.DataFrame({"part": [int(frame["part"].min()) // FAN_IN], "sums": [total.tobytes()]})
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(s) for s in parts["sums"])
+        return pd.DataFrame({"part": [int(parts["part"].min()) // FAN_IN], "sums": [total.tobytes()]})
 
     kind = "part long, sums binary"
     sums = rows.mapInPandas(part, kind)

@@ -289,14 +289,14 @@ def test_flac_round_trip_and_checks():
     for p, m, blocks in zip(payloads, media, flac.decode(media), strict=True):
         assert b"".join(b for _, b in blocks) == p
         assert [at for at, _ in blocks] == [flac.BLOCK * i for i in range(len(blocks))]
-        offsets, frames, md5 = flac.frames_of(m)
+        offsets, packets, md5 = flac.packets_of(m)
         assert md5 == hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes()).digest()
-        for f in frames[:3]:
+        for f in packets[:3]:
             c = 0
             for x in f[:-2]:  # the checksum byte by byte
                 c = (c << 8 & 0xFFFF) ^ int(flac.CRC16[c >> 8 ^ x])
             assert c == int.from_bytes(f[-2:], "big")
-            sub = flac._subframe(f)
+            sub = flac._subpacket(f)
             if sub["plain"] is None:
                 assert (flac._residuals_alone(f, sub) == flac._residuals([f], [sub])[0]).all()
     for at in (-1, -100, 50):
