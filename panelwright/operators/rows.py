@@ -29,33 +29,33 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def drop_missing(df: DataFrame, how: str = "any") -> DataFrame:
     if how not in ("any", "all"):
-        raise ValueError(f"how must be 'any' or 'all', not {how!r}")
+        raise ValueError(f"rows are dropped for 'any' or 'all' missing values; {how!r} is neither")
     return df.na.drop(how, subset=value_columns(df))
 
 
 def fill_missing(df: DataFrame, value=None, method: str | None = None) -> DataFrame:
     """With a value, or forward or backward within each id."""
     if (value is None) == (method is None):
-        raise ValueError("give exactly one of value and method")
+        raise ValueError("fill with a value or in a direction, one of them")
     if method is not None:
         if method not in ("ffill", "bfill"):
-            raise ValueError(f"method must be 'ffill' or 'bfill', not {method!r}")
+            raise ValueError(f"filling goes forward ('ffill') or backward ('bfill'); {method!r} is neither")
         return forward_fill(df) if method == "ffill" else back_fill(df)
     names = numeric_columns(df) if isinstance(value, int | float) and not isinstance(value, bool) else [c for c in value_columns(df) if c not in numeric_columns(df)]
     return df.na.fill(value, names) if names else df
 
 
-def concat(frames: list[DataFrame]) -> DataFrame:
+def concat(tables: list[DataFrame]) -> DataFrame:
     """Bag union by name; a column that a side lacks is missing there."""
-    if not frames:
+    if not tables:
         raise ValueError("nothing to concatenate")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def join(left: DataFrame, right: DataFrame, on: str | list[str] | None = None, how: str = "left", suffix: tuple[str, str] = ("_left", "_right")) -> DataFrame:
     """Equi-join. Missing keys match each other; columns on both sides get both suffixes."""
     if how not in HOWS:
-        raise ValueError(f"how must be one of {sorted(HOWS)}, not {how!r}")
+        raise ValueError(f"no join of the kind {how!r}; there are {sorted(HOWS)}")
     on = list(KEYS) if on is None else [on] if isinstance(on, str) else list(on)
     both = {c for c in left.columns if c in right.columns and c not in on}
     a = left.select(*[F.col(c).alias(f"__a_{c}") for c in left.columns])

@@ -23,43 +23,43 @@ def so_far() -> WindowSpec:
     return by_id().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _median(c: Column, frame: WindowSpec) -> Column:
-    s = F.array_sort(F.collect_list(c).over(frame))
+def _median(c: Column, span: WindowSpec) -> Column:
+    s = F.array_sort(F.collect_list(c).over(span))
     n = F.size(s)
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
-def _moment(c: Column, frame: WindowSpec, name: str) -> Column:
-    n = F.count(c).over(frame).cast("double")
+def _moment(c: Column, span: WindowSpec, name: str) -> Column:
+    n = F.count(c).over(span).cast("double")
     if name == "skew":
-        return F.when(n > 2, F.skewness(c).over(frame) * F.sqrt(n * (n - 1)) / (n - 2))
-    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c).over(frame) + 6))
+        return F.when(n > 2, F.skewness(c).over(span) * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c).over(span) + 6))
 
 
-def aggregate(c: Column, frame: WindowSpec, func: str, min_periods: int) -> Column:
-    """``func`` over a frame, missing with fewer than ``min_periods`` values in it."""
+def aggregate(c: Column, span: WindowSpec, func: str, min_periods: int) -> Column:
+    """``func`` over a span, missing with fewer than ``min_periods`` values in it."""
     c = c.cast("double")
     simple = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max}
-    n = F.count(c).over(frame)
+    n = F.count(c).over(span)
     if func == "count":  # of rows, missing or not, is asked for here
-        return F.when(F.count(F.lit(1)).over(frame) >= min_periods, n.cast("double"))
+        return F.when(F.count(F.lit(1)).over(span) >= min_periods, n.cast("double"))
     if func in simple:
-        out = simple[func](c).over(frame)
+        out = simple[func](c).over(span)
         out = F.coalesce(out, F.lit(0.0)) if func == "sum" else out
     elif func == "median":
-        out = _median(c, frame)
+        out = _median(c, span)
     elif func in ("skew", "kurt"):
-        out = _moment(c, frame, func)
+        out = _moment(c, span, func)
     elif func == "sem":
-        out = F.stddev_samp(c).over(frame) / F.sqrt(F.nullif(n - 1, F.lit(0)))
+        out = F.stddev_samp(c).over(span) / F.sqrt(F.nullif(n - 1, F.lit(0)))
     else:
         raise ValueError(f"unknown window function: {func!r}")
     return F.when(n >= min_periods, known(out))
 
 
 def rolling(df: DataFrame, window: int, func: str = "mean", min_periods: int | None = None) -> DataFrame:
-    frame = by_id().rowsBetween(-(window - 1), 0)
-    return each(df, numeric_columns(df), lambda c: aggregate(F.col(c), frame, func, min_periods or window))
+    span = by_id().rowsBetween(-(window - 1), 0)
+    return each(df, numeric_columns(df), lambda c: aggregate(F.col(c), span, func, min_periods or window))
 
 
 def expanding(df: DataFrame, func: str = "mean", min_periods: int = 1) -> DataFrame:
@@ -67,12 +67,12 @@ def expanding(df: DataFrame, func: str = "mean", min_periods: int = 1) -> DataFr
 
 
 def zscore(df: DataFrame, window: int, min_periods: int | None = None) -> DataFrame:
-    frame, least = by_id().rowsBetween(-(window - 1), 0), min_periods or window
+    span, least = by_id().rowsBetween(-(window - 1), 0), min_periods or window
 
     def score(c: str) -> Column:
         x = F.col(c).cast("double")
-        z = (x - F.avg(x).over(frame)) / F.nullif(F.stddev_samp(x).over(frame), F.lit(0.0))
-        return F.when(F.count(x).over(frame) >= least, z)
+        z = (x - F.avg(x).over(span)) / F.nullif(F.stddev_samp(x).over(span), F.lit(0.0))
+        return F.when(F.count(x).over(span) >= least, z)
 
     return each(df, numeric_columns(df), score)
 

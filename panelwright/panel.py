@@ -139,7 +139,7 @@ class Panel:
 
     def fillna(self, value=None, method: str | None = None) -> Panel:
         if (value is None) == (method is None):
-            raise ValueError("give exactly one of value and method")
+            raise ValueError("fill with a value or in a direction, one of them")
         return self.transform(rows.fill_missing, value, method)
 
     @staticmethod
@@ -151,7 +151,7 @@ class Panel:
 
     def join(self, other: Panel, on=None, how: str = "left", suffix: tuple[str, str] = ("_left", "_right")) -> Panel:
         if how not in rows.HOWS:
-            raise ValueError(f"how must be one of {sorted(rows.HOWS)}, not {how!r}")
+            raise ValueError(f"no join of the kind {how!r}; there are {sorted(rows.HOWS)}")
         return self._with(other, rows.join, on, how, suffix)
 
     def asof_join(self, other: Panel, on: str = DATE, by: str | None = ID, tolerance=None, lookback: int = 0) -> Panel:

@@ -17,10 +17,10 @@ def current():
 
 
 class Handle:
-    """A result to come; ``frame`` is the plan, ``pandas()`` the rows."""
+    """A result to come; ``plan`` is the plan, ``pandas()`` the rows."""
 
-    def __init__(self, frame: DataFrame):
-        self.frame = frame
+    def __init__(self, plan: DataFrame):
+        self.plan = plan
         self._future: Future | None = None
 
     def pandas(self):
@@ -33,8 +33,8 @@ class Batch:
     def __init__(self) -> None:
         self.handles: list[Handle] = []
 
-    def add(self, frame: DataFrame) -> Handle:
-        self.handles.append(Handle(frame))
+    def add(self, plan: DataFrame) -> Handle:
+        self.handles.append(Handle(plan))
         return self.handles[-1]
 
     def run(self, workers: int | None = None) -> None:
@@ -43,7 +43,7 @@ class Batch:
             return
         with ThreadPoolExecutor(workers or min(8, len(self.handles))) as pool:
             for h in self.handles:
-                h._future = pool.submit(inheritable_thread_target(h.frame.sparkSession)(h.frame.toPandas))
+                h._future = pool.submit(inheritable_thread_target(h.plan.sparkSession)(h.plan.toPandas))
         for h in self.handles:
             h.pandas()
 

@@ -27,35 +27,35 @@ class Held:
     def __init__(self, limit: int = 128):
         self.limit = limit
         self.stats = Stats()
-        self._frames: OrderedDict[tuple, DataFrame] = OrderedDict()
+        self._plans: OrderedDict[tuple, DataFrame] = OrderedDict()
         self._lock = threading.RLock()
 
     def get(self, key: tuple, make) -> DataFrame:
         with self._lock:
-            if key in self._frames:
+            if key in self._plans:
                 self.stats.hits += 1
-                self._frames.move_to_end(key)
-                return self._frames[key]
+                self._plans.move_to_end(key)
+                return self._plans[key]
             self.stats.misses += 1
-            frame = self._frames[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
-            while len(self._frames) > self.limit:
-                self._frames.popitem(last=False)[1].unpersist()
+            plan = self._plans[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+            while len(self._plans) > self.limit:
+                self._plans.popitem(last=False)[1].unpersist()
                 self.stats.evictions += 1
-            return frame
+            return plan
 
     def invalidate(self, first) -> int:
         """Let go of all keys that begin with ``first``."""
         with self._lock:
-            gone = [k for k in self._frames if k[0] == first]
+            gone = [k for k in self._plans if k[0] == first]
             for k in gone:
-                self._frames.pop(k).unpersist()
+                self._plans.pop(k).unpersist()
             return len(gone)
 
     def clear(self) -> int:
         with self._lock:
-            n = len(self._frames)
-            while self._frames:
-                self._frames.popitem()[1].unpersist()
+            n = len(self._plans)
+            while self._plans:
+                self._plans.popitem()[1].unpersist()
             return n
 
     def reset(self) -> None:
@@ -63,7 +63,7 @@ class Held:
         self.stats = Stats()
 
     def __len__(self) -> int:
-        return len(self._frames)
+        return len(self._plans)
 
 
 HELD = Held()
