@@ -7,6 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ TMP = "__pw_"
 #: Rows in one Arrow batch: a batch of long texts has to fit a Python worker.
 BATCH_ROWS = 500
 
+#: Rows of partial sums that one task adds up.
+FAN_IN = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,28 +29,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share, for tables that cut lineage.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (as
-    in tests on one machine) a temporary folder is made.
+    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset, a session on one
+    machine (master ``local[...]``) gets a temporary folder of its own; any other session
+    has to name one, as its executors would not see the driver's.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
-        base = tempfile.mkdtemp(prefix="panelwright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/panelwright/{spark.sparkContext.applicationId}"
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = getattr(context, "_panelwright_folder", None)
+        if base is None:
+            base = context._panelwright_folder = tempfile.mkdtemp(prefix="panelwright-")
+    return f"{base.rstrip('/')}/panelwright/{context.applicationId}"
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The table survives lost executors; the JVM deletes it when the session ends.
+    The table survives lost executors; ``drop`` deletes it, or else the JVM when the
+    session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _at(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._panelwright_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made, once all that reads them was written."""
+    for t in tables:
+        path = getattr(t, "_panelwright_path", None)
+        if path:
+            files, place = _at(t.sparkSession, path)
+            files.delete(place, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -71,6 +96,27 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def add_up(rows: DataFrame, part, kind: type, parts: int | None = None) -> dict[str, np.ndarray]:
+    """Arrays by key, added up over ``rows``. ``part`` maps a partition's batches to rows
+    (part, key, sums): the partition's number, a key and the bytes of its sums. ``FAN_IN``
+    of them at a time are added by executors, in as many rounds as ``parts`` partitions
+    need, so that the driver gets one row for each key."""
+    schema = "part long, key string, sums binary"
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(s, kind) for s in parts["sums"])
+        return pd.DataFrame({"part": [int(parts["part"].min()) // FAN_IN], "key": [str(parts["key"].iloc[0])], "sums": [total.tobytes()]})
+
+    left, sums = parts or rows.rdd.getNumPartitions(), rows.mapInPandas(part, schema)
+    while left > 1:
+        sums = sums.groupBy("key", F.floor(F.col("part") / FAN_IN)).applyInPandas(add, schema)
+        left = -(-left // FAN_IN)
+    found: dict[str, np.ndarray] = {}
+    for r in sums.collect():
+        found[r["key"]] = found.get(r["key"], 0) + np.frombuffer(r["sums"], kind)
+    return found
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import materialize
+from panelwright.llm.common import drop, materialize
 
 MAX_ROUNDS = 100
 
@@ -32,16 +32,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
         jump = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        to = materialize(near.join(jump, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "to")
+        to = materialize(near.join(jump.hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "to")
         maps.append(to)
-        one = to.select(F.col("node").alias("a"), F.col("to").alias("ra"))
-        two = to.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        one = to.select(F.col("node").alias("a"), F.col("to").alias("ra")).hint("merge")
+        two = to.select(F.col("node").alias("b"), F.col("to").alias("rb")).hint("merge")
         moved = left.join(one, "a").join(two, "b").where(F.col("ra") != F.col("rb"))
-        left = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        moved = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        drop(left)
+        left = moved
     if not maps:
         return left.select(F.col("a").alias("node"), F.col("a").alias("root"))
     found = maps[-1].select("node", F.col("to").alias("root"))
     for step in reversed(maps[:-1]):
-        later = found.select(F.col("node").alias("to"), "root")
+        later = found.select(F.col("node").alias("to"), "root").hint("merge")
         found = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return materialize(found, "components")
+    found = materialize(found, "components")
+    drop(left, *maps)
+    return found

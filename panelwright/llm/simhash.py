@@ -117,37 +117,39 @@ def forest(near, first: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def bucket_links(keyed: DataFrame, kind: str, near_of, chunk: int = CHUNK, data: DataFrame | None = None) -> DataFrame:
-    """``a, b`` edges of all buckets of ``keyed`` (v, key, node). ``data`` (node, data) is
-    what the link test needs beyond the node; only members of shared buckets get it.
+def bucket_cells(keyed: DataFrame, schema: str, solve, chunk: int = CHUNK, data: DataFrame | None = None) -> DataFrame:
+    """What ``solve(key, rows, first)`` lists for all buckets of ``keyed`` (v, key, node).
 
-    ``near_of(rows)`` gives the link test of a bucket. Buckets of one are left out first;
-    those over ``chunk`` are dealt into chunks and each two chunks meet once.
+    ``data`` (node and more) is what solving needs beyond the node; only members of shared
+    buckets get it. Buckets of one are left out first; those over ``chunk`` are dealt into
+    chunks and each two chunks meet once: ``first`` tells theirs apart, and is true
+    throughout where a chunk is by itself.
     """
     sizes = keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.select("v", "key", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks")), "buckets")
-    spread, rest = keyed.join(sizes, ["v", "key"]), ["node"]
+    spread, rest = keyed.join(sizes.hint("merge"), ["v", "key"]), ["node"]
     if data is not None:
-        spread, rest = spread.join(data, "node"), ["node", "data"]
+        spread, rest = spread.join(data.hint("merge"), "node"), data.columns
     spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     spread = spread.select("v", "key", "own", *rest, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     spread = spread.select("v", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
     cell = ["v", "key", "i", "j"]
     dealt = spread.repartition(*cell).sortWithinPartitions(*cell, "own", "node")
+    names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
-        def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        def solved(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             keys = rows[cell].to_numpy()
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            own, nodes, edges = rows["own"].to_numpy(), rows["node"].to_numpy(), []
+            own, found = rows["own"].to_numpy(), []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
                 first = own[s:e] == keys[s, 2]
                 if e - s > 1 and (keys[s, 2] == keys[s, 3] or not first.all()):
-                    edges += [(nodes[s + x], nodes[s + y]) for x, y in forest(near_of(rows.iloc[s:e]), first)]
-            if edges:
-                yield pd.DataFrame(edges, columns=["a", "b"])
+                    found += solve(int(keys[s, 1]), rows.iloc[s:e], first)
+            if found:
+                yield pd.DataFrame(found, columns=names)
 
         for b in batches:
             rows = b if held is None else pd.concat([held, b], ignore_index=True)
@@ -156,12 +158,23 @@ def bucket_links(keyed: DataFrame, kind: str, near_of, chunk: int = CHUNK, data:
             last = (rows[cell] == rows[cell].iloc[-1]).all(axis=1).to_numpy()
             k = int(np.flatnonzero(last)[0])
             if k:
-                yield from solve(rows.iloc[:k])
+                yield from solved(rows.iloc[:k])
             held = rows.iloc[k:].reset_index(drop=True)
         if held is not None and len(held):
-            yield from solve(held)
+            yield from solved(held)
 
-    return dealt.mapInPandas(run, f"a {kind}, b {kind}")
+    return dealt.mapInPandas(run, schema)
+
+
+def bucket_links(keyed: DataFrame, near_of, chunk: int = CHUNK, data: DataFrame | None = None) -> DataFrame:
+    """``a, b`` edges of spanning forests of all buckets; ``near_of(rows)`` gives the link
+    test of a bucket."""
+
+    def solve(key: int, rows: pd.DataFrame, first: np.ndarray) -> list[tuple[int, int]]:
+        nodes = rows["node"].to_numpy(np.int64)
+        return [(nodes[x], nodes[y]) for x, y in forest(near_of(rows), first)]
+
+    return bucket_cells(keyed, "a long, b long", solve, chunk, data)
 
 
 def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -169,7 +182,7 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
     masks = F.array(*[F.struct(F.lit(i).alias("v"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(covering_masks(radius))])
     keyed = prints.select("fp", F.explode(masks).alias("t"))
     keyed = keyed.select(F.col("fp").alias("node"), F.col("t.v").alias("v"), F.col("fp").bitwiseAND(F.col("t.m")).alias("key"))
-    return bucket_links(keyed, "long", lambda rows: _near(rows["node"].to_numpy(np.int64), radius), chunk)
+    return bucket_links(keyed, lambda rows: _near(rows["node"].to_numpy(np.int64), radius), chunk)
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
