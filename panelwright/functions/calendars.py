@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import hashlib
 from abc import ABC, abstractmethod
 from datetime import date, datetime, timedelta
 
@@ -18,8 +19,23 @@ def as_date(x: date | datetime | str) -> date:
     return x.date() if isinstance(x, datetime) else x
 
 
+#: Pairs of days that are broadcast: 16 bytes each.
+MAX_BROADCAST_DAYS = 100_000
+
+
+def on_day(df: DataFrame, day: Column) -> Column:
+    """The date key of ``df`` on another day; a time of day stays."""
+    if df.schema[DATE].dataType.typeName() == "date":
+        return day
+    return F.col(DATE) + F.make_dt_interval(F.datediff(day, F.col(DATE).cast("date")))
+
+
 class Calendar(ABC):
-    """Subclass with ``contains`` and ``offset``; the rest follows."""
+    """Subclass with ``contains`` and ``offset``; the rest follows.
+
+    What follows lists the days of the range asked for, on the driver and in the plan, so
+    its size is bounded by that range. The calendars below do without.
+    """
 
     @abstractmethod
     def contains(self, d: date) -> bool: ...
@@ -32,13 +48,21 @@ class Calendar(ABC):
         span = (as_date(end) - as_date(start)).days
         return [d for i in range(span + 1) if self.contains(d := as_date(start) + timedelta(i))]
 
-    def sequence(self, low: Column, high: Column) -> Column:
-        """The days between two dates as an array column."""
-        raise NotImplementedError
+    def sequence(self, low: Column, high: Column, start: date, end: date) -> Column:
+        """The days between two dates, which lie in a range, as an array column."""
+        listed = self.days(start, end)
+        days = F.array(*[F.lit(d) for d in listed]) if listed else F.array().cast("array<date>")
+        return F.filter(days, lambda d: (d >= low) & (d <= high))
+
+    def shift(self, df: DataFrame, n: int, start: date, end: date) -> DataFrame:
+        """``df``, whose dates lie in a range, with every date moved by ``n`` days of the
+        calendar; rows on other days go, times of day stay."""
+        return self._moved(df, [(d, self.offset(d, n)) for d in self.days(start, end)])
 
-    def shift(self, df: DataFrame, n: int) -> DataFrame:
-        """``df`` with every date moved by ``n`` days of the calendar."""
-        raise NotImplementedError
+    def _moved(self, df: DataFrame, pairs: list[tuple[date, date]]) -> DataFrame:
+        to = df.sparkSession.createDataFrame(pairs, "__from date, __to date")
+        joined = df.join(F.broadcast(to) if len(pairs) <= MAX_BROADCAST_DAYS else to, F.col(DATE).cast("date") == F.col("__from"), "inner")
+        return joined.select(*[on_day(df, F.col("__to")).alias(c) if c == DATE else F.col(c) for c in df.columns])
 
     def __repr__(self) -> str:
         return f"{type(self).__name__}()"
@@ -51,11 +75,11 @@ class AllDays(Calendar):
     def offset(self, d: date, n: int) -> date:
         return as_date(d) + timedelta(n)
 
-    def sequence(self, low: Column, high: Column) -> Column:
+    def sequence(self, low: Column, high: Column, start: date, end: date) -> Column:
         return F.when(low <= high, F.sequence(low, high, F.expr("interval 1 day")))
 
-    def shift(self, df: DataFrame, n: int) -> DataFrame:
-        return df.withColumn(DATE, F.date_add(DATE, n))
+    def shift(self, df: DataFrame, n: int, start: date, end: date) -> DataFrame:
+        return df.withColumn(DATE, on_day(df, F.date_add(F.col(DATE).cast("date"), n)))
 
 
 class Weekdays(Calendar):
@@ -86,12 +110,12 @@ class Weekdays(Calendar):
         monday = F.date_sub(d, F.weekday(d))
         return F.date_add(monday, (F.floor(steps / 5) * 7 + F.pmod(steps, F.lit(5))).cast("int"))
 
-    def sequence(self, low: Column, high: Column) -> Column:
+    def sequence(self, low: Column, high: Column, start: date, end: date) -> Column:
         days = F.when(low <= high, F.sequence(low, high, F.expr("interval 1 day")))
         return F.filter(days, lambda d: F.weekday(d) < 5)
 
-    def shift(self, df: DataFrame, n: int) -> DataFrame:
-        return df.withColumn(DATE, self.offset_expression(F.col(DATE), n))
+    def shift(self, df: DataFrame, n: int, start: date, end: date) -> DataFrame:
+        return df.withColumn(DATE, on_day(df, self.offset_expression(F.col(DATE).cast("date"), n)))
 
 
 class DayList(Calendar):
@@ -112,16 +136,11 @@ class DayList(Calendar):
         # beyond the list's ends there is nothing to step to
         return self.listed[min(max(i + n, 0), len(self.listed) - 1)]
 
-    def sequence(self, low: Column, high: Column) -> Column:
-        listed = F.array(*[F.lit(d) for d in self.listed])
-        return F.filter(listed, lambda d: (d >= low) & (d <= high))
-
-    def shift(self, df: DataFrame, n: int) -> DataFrame:
+    def shift(self, df: DataFrame, n: int, start: date, end: date) -> DataFrame:
+        """Rows whose day or target is not listed go."""
         size = len(self.listed)
-        moved = [(d, self.listed[i + n]) for i, d in enumerate(self.listed) if 0 <= i + n < size]
-        to = df.sparkSession.createDataFrame(moved, "__from date, __to date")
-        joined = df.join(F.broadcast(to), F.col(DATE) == F.col("__from"), "inner")
-        return joined.withColumn(DATE, F.col("__to")).select(*df.columns)
+        return self._moved(df, [(d, self.listed[i + n]) for i, d in enumerate(self.listed) if 0 <= i + n < size and as_date(start) <= d <= as_date(end)])
 
     def __repr__(self) -> str:
-        return f"DayList({len(self.listed)} days)"
+        listed = hashlib.sha256(" ".join(map(str, self.listed)).encode()).hexdigest()[:16]
+        return f"DayList({len(self.listed)} days, {listed})"

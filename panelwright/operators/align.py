@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,13 @@ def _onto(keys: DataFrame, df: DataFrame) -> DataFrame:
     return joined.select(*df.columns)
 
 
-def align_to_calendar(df: DataFrame, calendar: Calendar, method="ffill") -> DataFrame:
+def align_to_calendar(df: DataFrame, start: date, end: date, calendar: Calendar, method="ffill") -> DataFrame:
     """Every id on every calendar day between the panel's first and last date; rows on
     other days go before filling, and gaps that were there are filled too."""
     check_fill(method)
     low, high = (df.agg(f(F.col(DATE).cast("date"))).scalar() for f in (F.min, F.max))
     ids = df.select(ID).distinct().withColumns({"__low": low, "__high": high})
-    days = calendar.sequence(F.col("__low"), F.col("__high"))
+    days = calendar.sequence(F.col("__low"), F.col("__high"), start, end)
     keys = ids.select(F.explode(days).alias("__d"), ID).select(F.col("__d").cast(df.schema[DATE].dataType).alias(DATE), ID)
     return _fill(_onto(keys, df), method)
 

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-import re
-
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.plans.keys import DATE, ID
 
-_UNITS = {"d": 86400, "day": 86400, "days": 86400, "h": 3600, "hour": 3600, "hours": 3600, "min": 60, "m": 60, "minutes": 60, "s": 1, "seconds": 1, "w": 604800}
-
-
-def seconds(tolerance) -> int | None:
-    """Seconds in a tolerance: None, a timedelta, or text like '7d' or '12 hours'."""
+def microseconds(tolerance) -> int | None:
+    """Microseconds in a tolerance: None, a timedelta, or text as pandas reads it, like '7d',
+    '1D2h', '1.5h' or '500ms'; a unit alone is one of it."""
     if tolerance is None:
         return None
-    if hasattr(tolerance, "total_seconds"):
-        return int(tolerance.total_seconds())
-    found = re.fullmatch(r"\s*(\d+)?\s*([A-Za-z]+)\s*", str(tolerance))
-    if not found or found[2].lower() not in _UNITS:
-        raise ValueError(f"cannot read tolerance {tolerance!r}")
-    return int(found[1] or 1) * _UNITS[found[2].lower()]
+    text = tolerance.strip() if isinstance(tolerance, str) else tolerance
+    try:
+        return pd.Timedelta(f"1{text}" if isinstance(text, str) and text.isalpha() else text) // pd.Timedelta(1, "us")
+    except (ValueError, TypeError) as error:
+        raise ValueError(f"cannot read tolerance {tolerance!r}") from error
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str = DATE, by: str | None = ID, tolerance=None, suffix: tuple[str, str] = ("_left", "_right")) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str = DATE, by: str | list[str] | None = ID, tolerance=None, suffix: tuple[str, str] = ("_left", "_right")) -> DataFrame:
     """Left rows with the right row of the greatest ``on`` not after theirs.
 
     Both sides become one stream of each ``by``, right rows first at equal times, and the
@@ -32,11 +28,12 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = DATE, by: str | None
     distinct times are matched - the last right row of a time, by id, stands for it - and
     the rows then join on the time.
     """
-    keys = [on] + ([by] if by else [])
+    by = [by] if isinstance(by, str) else list(by or ())
+    keys = [on, *by]
     payload = [c for c in right.columns if c not in keys]
     both = {c for c in payload if c in left.columns}
     fact = F.struct(F.col(on).alias("t"), *[F.col(c).alias(f"v_{c}") for c in payload])
-    limit = seconds(tolerance)
+    limit = microseconds(tolerance)
 
     def matched(rows: DataFrame, facts: DataFrame, part: list[str]) -> DataFrame:
         a = rows.withColumns({"__side": F.lit(1), "__r": F.lit(None).cast(facts.schema["__r"].dataType)})
@@ -46,7 +43,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = DATE, by: str | None
         return seen.where(F.col("__side") == 1).select(*rows.columns, "__r")
 
     if by:
-        joined = matched(left, right.select(*keys, fact.alias("__r")), [by])
+        joined = matched(left, right.select(*keys, fact.alias("__r")), by)
     else:
         order = F.struct(*[F.col(c) for c in ([ID] if ID in right.columns else payload[:1])])
         facts = right.groupBy(on).agg(F.max_by(fact, order).alias("__r"))
@@ -54,7 +51,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = DATE, by: str | None
         joined = left.join(times, F.col(on) == F.col("__t"), "left").select(*left.columns, "__r")
     r = F.col("__r")
     if limit is not None:
-        age = F.unix_seconds(F.col(on).cast("timestamp")) - F.unix_seconds(r["t"].cast("timestamp"))
+        age = F.unix_micros(F.col(on).cast("timestamp")) - F.unix_micros(r["t"].cast("timestamp"))
         r = F.when(age <= limit, r)
     ours = [F.col(c).alias(c + suffix[0] if c in both else c) for c in left.columns]
     return joined.select(*ours, *[r[f"v_{c}"].alias(c + suffix[1] if c in both else c) for c in payload])

@@ -131,7 +131,8 @@ def ewm(df: DataFrame, span: float, func: str = "mean") -> DataFrame:
     With q = 1 - 2/(span + 1) a row's sum is q^j times a running sum of q^-i x_i inside a
     block of rows, plus what the end of the block before still weighs. A block is so long
     that what lies before that one weighs under e^-40; so sums stay in range and each row
-    takes constant work, however long the series.
+    takes constant work, however long the series. Sums are asked for at rows with a value
+    alone, so a gap of any length leaves the row after it a weight of 1 at least.
     """
     if func not in ("mean", "std", "var"):
         raise ValueError(f"unknown ewm function: {func!r}")
@@ -178,4 +179,6 @@ def ewm(df: DataFrame, span: float, func: str = "mean") -> DataFrame:
         var = F.when(F.col(f"__c_{c}") > 1, spread * weight * weight / F.nullif(weight * weight - F.col(f"__v_{c}"), F.lit(0.0)))
         return var if func == "var" else F.sqrt(var)
 
-    return df3.select(*[result(c).alias(c) if c in names else F.col(c) for c in df.columns])
+    # weights that age alike change neither mean nor variance: a missing row repeats the last result
+    found = df3.withColumns({f"__r_{c}": F.when(F.col(c).isNotNull(), F.struct(result(c).alias("r"))) for c in names})
+    return found.select(*[F.last(f"__r_{c}", True).over(so_far())["r"].alias(c) if c in names else F.col(c) for c in df.columns])

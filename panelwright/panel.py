@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from panelwright.functions.calendars import Calendar, Weekdays, as_date
 from panelwright.operators import align, cross, elementwise, resample, rows, timejoin, windows
 from panelwright.plans import batches
-from panelwright.plans.keys import DATE, ID, normalize, validate
+from panelwright.plans.keys import DATE, ID, KEYS, normalize, validate
 
 Scalar = (int, float)
 
+#: Operators that look at one date at a time.
+LOCAL = {rows.select, rows.where, rows.rename, rows.drop_missing, elementwise.with_scalar, elementwise.aligned, elementwise.absolute, elementwise.clip, elementwise.choose, cross.cs_rank}
+
 
 class Panel:
     """Builds a DataFrame for a date range; nothing runs until an action on that.
@@ -26,11 +29,14 @@ class Panel:
     Operators see the rows of the range asked for; ``lookback`` widens what they see.
     """
 
-    def __init__(self, build: Callable[[date, date], DataFrame], calendar: Calendar | None = None, name: str = "panel", inputs: tuple[Panel, ...] = ()):
+    def __init__(self, build: Callable[[date, date], DataFrame], calendar: Calendar | None = None, name: str | None = None, inputs: tuple[Panel, ...] = (), local: bool | None = None):
         self._build = build
         self.calendar = calendar or Weekdays()
-        self.name = name
+        self.name = name or _label(build)
         self.inputs = inputs
+        #: Whether a date's rows depend on nothing but that date, so that any range may be
+        #: built in parts. Taken for granted of sources.
+        self.local = not inputs if local is None else local
 
     # sources
 
@@ -42,14 +48,14 @@ class Panel:
         def build(start: date, end: date) -> DataFrame:
             return in_range(normalize(func(start, end, **given)), start, end)
 
-        label = f"{func.__module__}.{func.__qualname__}({sorted(given.items())})"
+        label = f"{_label(func)}({_said(sorted(given.items()))})"
         return cls(build, calendar, label)
 
     @classmethod
     def from_table(cls, df: DataFrame, calendar: Calendar | None = None, date_column: str = DATE, id_column: str = ID, name: str = "table") -> Panel:
         """A DataFrame whose keys may have other names."""
         named = df.withColumnsRenamed({date_column: DATE, id_column: ID})
-        return cls(lambda start, end: in_range(normalize(named), start, end), calendar, name)
+        return cls(lambda start, end: in_range(normalize(named), start, end), calendar, f"{name}{_said(named)}")
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str, calendar: Calendar | None = None, date_column: str = DATE, id_column: str = ID) -> Panel:
@@ -76,16 +82,17 @@ class Panel:
         return current.add(found) if current is not None else found
 
     async def aget_range(self, start, end, columns: list[str] | None = None, filters: list[tuple] | None = None):
-        return await asyncio.to_thread(self.df(start, end, columns, filters).toPandas)
+        return await asyncio.to_thread(in_order(self.df(start, end, columns, filters)).toPandas)
 
     async def aget(self, day, columns: list[str] | None = None, filters: list[tuple] | None = None):
-        return await asyncio.to_thread(self.df(day, day, columns, filters).drop(DATE).toPandas)
+        return await asyncio.to_thread(in_order(self.df(day, day, columns, filters)).drop(DATE).toPandas)
 
     def to_pandas(self, start, end):
-        return self.df(start, end).toPandas()
+        """The rows in order of date and id, on the driver."""
+        return in_order(self.df(start, end)).toPandas()
 
     def to_arrow(self, start, end):
-        return self.df(start, end).toArrow()
+        return in_order(self.df(start, end)).toArrow()
 
     def validated(self) -> Panel:
         """The same, with keys checked whenever rows are built."""
@@ -104,16 +111,16 @@ class Panel:
 
     def transform(self, func: Callable[..., DataFrame], *args, label: str | None = None, **kwargs) -> Panel:
         """``func(df, *args, **kwargs)`` on every range: how own operators are added."""
-        name = f"{label or _label(func)}({args}, {sorted(kwargs.items())}, {self.name})"
-        return Panel(lambda s, e: func(self._build(s, e), *args, **kwargs), self.calendar, name, (self,))
+        name = f"{label or _label(func)}({_said(args)}, {_said(sorted(kwargs.items()))}, {self.name})"
+        return Panel(lambda s, e: func(self._build(s, e), *args, **kwargs), self.calendar, name, (self,), self.local and func in LOCAL)
 
     def _with(self, other: Panel, func: Callable[..., DataFrame], *args, **kwargs) -> Panel:
-        name = f"{_label(func)}({args}, {sorted(kwargs.items())}, {self.name}, {other.name})"
-        return Panel(lambda s, e: func(self._build(s, e), other._build(s, e), *args, **kwargs), self.calendar, name, (self, other))
+        name = f"{_label(func)}({_said(args)}, {_said(sorted(kwargs.items()))}, {self.name}, {other.name})"
+        return Panel(lambda s, e: func(self._build(s, e), other._build(s, e), *args, **kwargs), self.calendar, name, (self, other), self.local and other.local and func in LOCAL)
 
     def _per_date(self, func: Callable[..., DataFrame], **kwargs) -> Panel:
         name = f"{_label(func)}({sorted(kwargs.items())}, {self.name})"
-        return Panel(lambda s, e: func(self._build(s, e), days=(e - s).days + 1, **kwargs), self.calendar, name, (self,))
+        return Panel(lambda s, e: func(self._build(s, e), days=(e - s).days + 1, **kwargs), self.calendar, name, (self,), self.local)
 
     def lookback(self, periods: int) -> Panel:
         """Operators before this one also see ``periods`` calendar days before the range."""
@@ -154,9 +161,9 @@ class Panel:
             raise ValueError(f"no join of the kind {how!r}; there are {sorted(rows.HOWS)}")
         return self._with(other, rows.join, on, how, suffix)
 
-    def asof_join(self, other: Panel, on: str = DATE, by: str | None = ID, tolerance=None, lookback: int = 0) -> Panel:
+    def asof_join(self, other: Panel, on: str = DATE, by: str | list[str] | None = ID, tolerance=None, lookback: int = 0) -> Panel:
         """The other panel is read over the same range, or from ``lookback`` days earlier."""
-        timejoin.seconds(tolerance)
+        timejoin.microseconds(tolerance)
 
         def build(start: date, end: date) -> DataFrame:
             facts = other._build(other.calendar.offset(start, -lookback), end)
@@ -276,7 +283,8 @@ class Panel:
 
     def align_to_calendar(self, calendar: Calendar | None = None, fill_method="ffill") -> Panel:
         align.check_fill(fill_method)
-        return self.transform(align.align_to_calendar, calendar or self.calendar, fill_method)
+        onto = calendar or self.calendar
+        return Panel(lambda s, e: align.align_to_calendar(self._build(s, e), s, e, onto, fill_method), self.calendar, f"align_to_calendar({onto!r}, {fill_method!r}, {self.name})", (self,))
 
     def align_to(self, target: Panel, fill_method="ffill") -> Panel:
         align.check_fill(fill_method)
@@ -288,7 +296,8 @@ class Panel:
         calendar = self.calendar
 
         def build(start: date, end: date) -> DataFrame:
-            return calendar.shift(self._build(calendar.offset(start, -periods), calendar.offset(end, -periods)), periods)
+            low, high = calendar.offset(start, -periods), calendar.offset(end, -periods)
+            return calendar.shift(self._build(low, high), periods, low, high)
 
         return Panel(build, calendar, f"dt_shift({periods}, {self.name})", (self,))
 
@@ -303,17 +312,43 @@ class Panel:
         a group have to fit a worker. A function across groups cannot be distributed."""
         return self.transform(lambda df: df.groupBy(by).applyInPandas(func, schema), label=f"apply_pandas.{_label(func)}")
 
-    def cached(self, store, mode: str = "a", parents: tuple = ()) -> Panel:
-        """Rows through a store that keeps what was computed: see ``sources.store``."""
-        from panelwright.sources.store import through_store
+    def cached(self, store=None, mode: str = "a", parents: tuple | None = None, chunk_by: str = "month") -> Panel:
+        """Rows through a store that keeps what was computed: see ``sources.store``. Without
+        a store or parents, those that ``configure`` names."""
+        from panelwright.sources.store import default_parents, default_store, through_store
+
+        def build(start: date, end: date) -> DataFrame:
+            levels = default_parents(chunk_by) if parents is None else tuple(parents)
+            return through_store(self, store or default_store(chunk_by), start, end, mode, levels)
+
+        return Panel(build, self.calendar, f"cached({self.name})", (self,))
 
-        return Panel(lambda s, e: through_store(self, store, s, e, mode, parents), self.calendar, f"cached({self.name})", (self,))
+
+def _said(value) -> str:
+    """Text that tells values apart: of tables their plans, of panels their keys."""
+    if isinstance(value, DataFrame):
+        return f"table({value.schema.simpleString()}, {value.semanticHash()})"
+    if isinstance(value, Panel):
+        return value.key
+    if isinstance(value, list | tuple):
+        return f"[{', '.join(map(_said, value))}]"
+    return _label(value) if callable(value) else repr(value)
 
 
 def _label(func) -> str:
+    """Where a function is defined, what it does, and what it has taken along."""
     code = getattr(func, "__code__", None)
-    where = f":{code.co_firstlineno}:{hashlib.sha256(code.co_code + repr(code.co_consts).encode()).hexdigest()[:8]}" if code and "<" in func.__qualname__ else ""
-    return f"{getattr(func, '__module__', '')}.{getattr(func, '__qualname__', func)}{where}"
+    where = ""
+    if code and "<" in func.__qualname__:
+        taken = [_said(c.cell_contents) for c in func.__closure__ or ()] + [_said(func.__defaults__ or ()), _said(sorted((func.__kwdefaults__ or {}).items()))]
+        text = code.co_code + repr([c for c in code.co_consts if not hasattr(c, "co_code")]).encode() + repr(code.co_names).encode() + " ".join(taken).encode()
+        where = f":{code.co_firstlineno}:{hashlib.sha256(text).hexdigest()[:16]}"
+    return f"{getattr(func, '__module__', '')}.{getattr(func, '__qualname__', repr(func))}{where}"
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Sorted by date and id, as rows leave for the driver."""
+    return df.orderBy(*[k for k in KEYS if k in df.columns])
 
 
 def in_range(df: DataFrame, start: date, end: date) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextvars
+import operator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import asynccontextmanager, contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
+from panelwright.plans.keys import KEYS
+
 _CURRENT: contextvars.ContextVar = contextvars.ContextVar("panelwright_batch", default=None)
 
 
@@ -17,16 +20,57 @@ def current():
 
 
 class Handle:
-    """A result to come; ``plan`` is the plan, ``pandas()`` the rows."""
+    """A result to come: ``plan`` is the DataFrame, ``pandas()`` the rows, in order of their
+    keys. Used like the rows themselves - items, attributes, arithmetic, comparisons - it
+    collects them if the batch has not yet."""
 
     def __init__(self, plan: DataFrame):
         self.plan = plan
         self._future: Future | None = None
+        self._rows = None
+
+    def collect(self):
+        if self._rows is None:
+            self._rows = self.plan.orderBy(*[k for k in KEYS if k in self.plan.columns]).toPandas()
+        return self._rows
 
     def pandas(self):
-        if self._future is None:
-            raise RuntimeError("the batch has not run yet")
-        return self._future.result()
+        return self.collect() if self._future is None else self._future.result()
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self.pandas(), name)
+
+    def __repr__(self) -> str:
+        done = self._rows is not None
+        return repr(self._rows) if done else f"Handle({self.plan.columns}, waiting)"
+
+    def __bool__(self) -> bool:
+        return len(self.pandas()) > 0
+
+    __hash__ = object.__hash__
+
+
+def _forward(name: str):
+    def call(self, *given):
+        given = [x.pandas() if isinstance(x, Handle) else x for x in given]
+        return getattr(operator, name)(self.pandas(), *given)
+
+    return call
+
+
+def _reflected(name: str):
+    return lambda self, other: getattr(operator, name)(other, self.pandas())
+
+
+for _name in ("add", "sub", "mul", "truediv", "pow"):
+    setattr(Handle, f"__{_name}__", _forward(_name))
+    setattr(Handle, f"__r{_name}__", _reflected(_name))
+for _name in ("eq", "ne", "lt", "le", "gt", "ge", "neg", "pos", "abs", "getitem", "setitem", "contains"):
+    setattr(Handle, f"__{_name}__", _forward(_name))
+Handle.__len__ = lambda self: len(self.pandas())
+Handle.__iter__ = lambda self: iter(self.pandas())
 
 
 class Batch:
@@ -43,7 +87,7 @@ class Batch:
             return
         with ThreadPoolExecutor(workers or min(8, len(self.handles))) as pool:
             for h in self.handles:
-                h._future = pool.submit(inheritable_thread_target(h.plan.sparkSession)(h.plan.toPandas))
+                h._future = pool.submit(inheritable_thread_target(h.plan.sparkSession)(h.collect))
         for h in self.handles:
             h.pandas()
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 import itertools
 import tempfile
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.functions.calendars import AllDays, DayList, Weekdays
+from panelwright.functions.calendars import AllDays, Calendar, DayList, Weekdays
 from panelwright.panel import Panel
 from panelwright.plans.keys import DATE, ID
 from panelwright.sources.store import PanelStore
@@ -53,6 +53,19 @@ def suppliers(spark: SparkSession, sf_dir: str) -> Panel:
     return Panel.from_table(_daily(spark, sf_dir, "lineitem", "l_shipdate", "l_suppkey", quantity="l_quantity", price="l_extendedprice"), AllDays(), name="suppliers")
 
 
+class Fridays(Calendar):
+    """A calendar of its own: one day a week."""
+
+    def contains(self, d: date) -> bool:
+        return d.weekday() == 4
+
+    def offset(self, d: date, n: int) -> date:
+        if n == 0:
+            return d
+        last = d - timedelta((d.weekday() - 4) % 7)
+        return last + timedelta(7 * n + (7 if n < 0 and last != d else 0))
+
+
 SOURCES = {"u": (users, USER_RANGE), "g": (gappy, USER_RANGE), "c": (customers, LONG_RANGE), "s": (suppliers, LONG_RANGE)}
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -108,8 +121,8 @@ def _register_rows() -> None:
     _panel("p7_fillna_ffill", "g", lambda p: p.fillna(method="ffill"), _rows(f"last_value(@ ignore nulls) {U}"))
     _panel("p7_fillna_bfill", "g", lambda p: p.fillna(method="bfill"), _rows("first_value(@ ignore nulls) over (partition by id order by as_of_date rows between current row and unbounded following)"))
     _panel("p8_clip", "g", lambda p: p.clip(2.0, 80.0), _rows("case when @ is not null then least(greatest(@, 2), 80) end"))
-    cond = lambda p: p.transform(lambda df: df.select(DATE, ID, (F.col("value") > 50).alias("value")).where(F.col(ID) % 3 != 0))
-    joined = "from p left join (select as_of_date, id, value > 50 as c from p where id % 3 <> 0) k using (as_of_date, id)"
+    cond = lambda p: p.transform(lambda df: df.select(F.date_add(DATE, 1).alias(DATE), ID, (F.col("value") > 50).alias("value")))
+    joined = "from p left join (select as_of_date + 1 as as_of_date, id, value > 50 as c from p) k using (as_of_date, id)"
     _panel("p9_where", "g", lambda p: p.where(cond(p), -1.0), f"select as_of_date, id, {r('case when coalesce(c, false) then value else -1 end', 'value')}, {r('-1.0::double', 'n')} {joined}")
     _panel("p10_mask", "g", lambda p: p.mask(cond(p)), f"select as_of_date, id, {r('case when coalesce(c, true) then null else value end', 'value')}, null::double as n {joined}")
     _panel("p4_output_filter", "g", lambda p: Panel(lambda s, e: p.rolling(3, "sum").df(s, e, ["value"], [("n", ">", 3.0)])), f"select as_of_date, id, {r('value', 'value')} from (select as_of_date, id, {', '.join(f'case when count({c}) over w >= 3 then sum({c}) over w end as {c}' for c in ('value', 'n'))} from p window w as (partition by id order by as_of_date rows between 2 preceding and current row)) where n > 3")
@@ -117,10 +130,11 @@ def _register_rows() -> None:
 
 def _register_arithmetic() -> None:
     # the supplier and customer panels overlap in part: an outer union of keys and columns
-    for name, op, sql in (("a1_add", lambda a, b: a + b, "{a} + {b}"), ("a2_sub", lambda a, b: a - b, "{a} - {b}"), ("a3_mul", lambda a, b: a * b, "{a} * {b}"), ("a4_div", lambda a, b: a / b, RATIO), ("a5_pow", lambda a, b: a.pow(b), None)):
-        if sql:
-            lagged = "select as_of_date + 1 as as_of_date, id, value, value * 0 as n from p where id % 4 <> 0"
-            _panel(f"{name}_panel", "g", lambda p, op=op: op(p, p.transform(lambda df: df.select(F.date_add(DATE, 1).alias(DATE), ID, "value", (F.col("value") * 0).alias("n")).where(F.col(ID) % 4 != 0))), f", z as ({lagged}) select coalesce(p.as_of_date, z.as_of_date) as as_of_date, coalesce(p.id, z.id) as id, {r(sql.format(a='p.value', b='z.value'), 'value')}, {r(sql.format(a='p.n', b='z.n'), 'n')} from p full join z on p.as_of_date = z.as_of_date and p.id = z.id")
+    for name, op, sql in (("a1_add", lambda a, b: a + b, "{a} + {b}"), ("a2_sub", lambda a, b: a - b, "{a} - {b}"), ("a3_mul", lambda a, b: a * b, "{a} * {b}"), ("a4_div", lambda a, b: a / b, RATIO), ("a5_pow", lambda a, b: a.clip(0.5, 3).pow(b.clip(0, 2)), "power({a}, {b})")):
+        bounded = lambda x, low, high: f"case when {x} is not null then least(greatest({x}, {low}), {high}) end"
+        a, b = (bounded("p.@", 0.5, 3), bounded("z.@", 0, 2)) if name == "a5_pow" else ("p.@", "z.@")
+        lagged = "select as_of_date + 1 as as_of_date, id, value, value * 0 as n from p"
+        _panel(f"{name}_panel", "g", lambda p, op=op: op(p, p.transform(lambda df: df.select(F.date_add(DATE, 1).alias(DATE), ID, "value", (F.col("value") * 0).alias("n")))), f", z as ({lagged}) select coalesce(p.as_of_date, z.as_of_date) as as_of_date, coalesce(p.id, z.id) as id, {', '.join(r(sql.format(a=a, b=b).replace('@', c), c) for c in ('value', 'n'))} from p full join z on p.as_of_date = z.as_of_date and p.id = z.id")
     _panel("a1_add_scalar", "g", lambda p: 2 + p, _rows("@ + 2"))
     _panel("a2_rsub_scalar", "g", lambda p: 10 - p, _rows("10 - @"))
     _panel("a3_neg", "g", lambda p: -p, _rows("-@"))
@@ -186,9 +200,10 @@ def _register_resample() -> None:
 
 
 def _register_joins() -> None:
-    left, right = "select as_of_date, id, value, n from p where id % 2 = 0", "select as_of_date, id, value, n * 2 as m from p where id % 3 = 0"
-    lp = lambda p: p.transform(lambda df: df.where(F.col(ID) % 2 == 0))
-    rp = lambda p: p.transform(lambda df: df.where(F.col(ID) % 3 == 0).select(DATE, ID, "value", (F.col("n") * 2).alias("m")))
+    # the right side is a day late, so either side has keys that the other lacks
+    left, right = "select as_of_date, id, value, n from p", "select as_of_date + 1 as as_of_date, id, value, n * 2 as m from p"
+    lp = lambda p: p
+    rp = lambda p: p.transform(lambda df: df.select(F.date_add(DATE, 1).alias(DATE), ID, "value", (F.col("n") * 2).alias("m")))
     cols = f"{r('a.value', 'value_left')}, {r('a.n', 'n')}, {r('b.value', 'value_right')}, {r('b.m', 'm')}"
     ab = f", a as ({left}), b as ({right})"
     for how, word in (("inner", "inner"), ("left", "left"), ("right", "right"), ("outer", "full")):
@@ -209,8 +224,14 @@ def _register_calendars() -> None:
     for name, sql in fills.items():
         method = {"none": None, "scalar": 0}.get(name, name)
         _panel(f"l1_align_calendar_{name}", "g", lambda p, m=method: p.align_to_calendar(Weekdays(), m), f"{grid} {_rows(sql).replace('from p', 'from j')}")
-        target = lambda p: p.transform(lambda df: df.where(F.col(ID) % 2 == 0).select(F.date_add(DATE, 2).alias(DATE), ID))
-        _panel(f"l2_align_to_{name}", "g", lambda p, m=method, t=target: p.align_to(t(p), m), f", j as (select t.as_of_date, t.id, p.value, p.n from (select as_of_date + 2 as as_of_date, id from p where id % 2 = 0) t left join p on p.as_of_date = t.as_of_date and p.id = t.id) {_rows(sql).replace('from p', 'from j')}")
+        target = lambda p: p.transform(lambda df: df.select(F.date_add(DATE, 2).alias(DATE), ID))
+        _panel(f"l2_align_to_{name}", "g", lambda p, m=method, t=target: p.align_to(t(p), m), f", j as (select t.as_of_date, t.id, p.value, p.n from (select as_of_date + 2 as as_of_date, id from p) t left join p on p.as_of_date = t.as_of_date and p.id = t.id) {_rows(sql).replace('from p', 'from j')}")
+    fridays = grid.replace("isodow(as_of_date) < 6", "isodow(as_of_date) = 5")
+    _panel("l1_align_custom", "g", lambda p: p.align_to_calendar(Fridays(), "ffill"), f"{fridays} {_rows(fills['ffill']).replace('from p', 'from j')}")
+    _panel("l3_dt_shift_custom", "u", lambda p: p.dt_shift(1), f", m as (select as_of_date + 7 as as_of_date, id, value, n from p where isodow(as_of_date) = 5 and as_of_date between '2023-12-29' and '2024-01-26') {_rows('@', 'u').replace('from p', 'from m')}", calendar=Fridays())
+    late = lambda df: df.withColumn(DATE, F.col(DATE).cast("timestamp") + F.expr("interval '15:30' hour to minute"))
+    text = lambda df: df.withColumn(DATE, F.date_format(DATE, "yyyy-MM-dd HH:mm"))
+    _panel("l3_dt_shift_timestamps", "u", lambda p: p.transform(late).dt_shift(2).transform(text), f"select strftime(as_of_date + interval 2 days, '%Y-%m-%d 15:30') as as_of_date, id, {r('value', 'value')}, {r('n', 'n')} from p where as_of_date between '2023-12-30' and '2024-01-29'")
     some = DayList([d for d in AllDays().days(*USER_RANGE) if d.day % 3])
     for name, calendar in (("all_days", AllDays()), ("weekdays", Weekdays()), ("weekdays_ahead", Weekdays()), ("listed_days", some)):
         n = -2 if name == "weekdays_ahead" else 2
@@ -249,11 +270,33 @@ def _register_store() -> None:
         def build(s, e):
             spark = p.df(s, s).sparkSession
             parent, store = _stored(spark), _stored(spark, "day")
-            (p * 2).cached(parent, "w").df(date(2024, 1, 10), date(2024, 1, 12)).count()
+            days = p.calendar.days(date(2024, 1, 10), date(2024, 1, 12))
+            parent.of(p).write((p * 2).df(days[0], days[-1]), days)
             return p.cached(store, "a", (parent,)).df(date(2024, 1, 8), date(2024, 1, 15))
 
         return Panel(build)
 
+    def append_rolling(p: Panel) -> Panel:
+        def build(s, e):
+            kept = p.rolling(3, "sum").cached(_stored(p.df(s, s).sparkSession))
+            kept.df(date(2024, 1, 1), date(2024, 1, 10)).count()
+            return kept.df(date(2024, 1, 1), date(2024, 1, 20))
+
+        return Panel(build)
+
+    def apart(p: Panel) -> Panel:
+        def build(s, e):
+            store = _stored(p.df(s, s).sparkSession)
+            p.rolling(3, "sum").cached(store).df(date(2024, 1, 1), date(2024, 1, 5)).count()
+            return (p * 100).cached(store).df(date(2024, 1, 1), date(2024, 1, 5))
+
+        return Panel(build)
+
+    summed = ", ".join(f"case when count({c}) over w >= 3 then sum({c}) over w end as {c}" for c in ("value", "n"))
+    rolled = f"with p as (select as_of_date, id, {summed} from ({PANELS['u']}) where as_of_date between '2024-01-01' and '2024-01-20' window w as (partition by id order by as_of_date rows between 2 preceding and current row)) "
+    _panel("s8_store_append_rolling", "u", append_rolling, "")
+    _FOUND["s8_store_append_rolling"] = (_FOUND["s8_store_append_rolling"][0], rolled + _rows("@", "u"))
+    _panel("s8_stores_apart", "u", apart, _rows("@ * 100", "u") + " where as_of_date between '2024-01-01' and '2024-01-05'")
     _panel("s8_store_append", "u", append, _rows("@", "u") + " where as_of_date between '2024-01-01' and '2024-01-20'")
     _panel("s9_store_levels", "u", levels, _rows("@ * case when as_of_date between '2024-01-10' and '2024-01-12' then 2 else 1 end", "u") + " where as_of_date between '2024-01-08' and '2024-01-15'")
     _panel("s13_materialize", "u", lambda p: Panel(lambda s, e: p.rolling(3, "sum", 1).cached(_stored(p.df(s, s).sparkSession), "w").df(s, e)), _rows("sum(@) over (partition by id order by as_of_date rows between 2 preceding and current row)", "u"))

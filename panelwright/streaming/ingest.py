@@ -20,13 +20,17 @@ def daily(stream: DataFrame, time_column: str, id_column: str, value_column: str
 def into_store(stream: DataFrame, store: PanelStore, checkpoint: str):
     """Start a query that merges every micro-batch: rows of its keys replace older ones."""
 
-    def merge(rows: DataFrame, _: int) -> None:
-        days = sorted(r[0] for r in rows.select(F.col(DATE).cast("date")).distinct().collect())
-        if not days:
-            return
-        old = store.read(days[0], days[-1])
-        if old is not None:
-            rows = rows.unionByName(old.join(rows.select(*KEYS), list(KEYS), "left_anti").where(F.col(DATE).isin(days)))
-        store.write(rows.select(*KEYS, *value_columns(rows)), days)
+    def merge(batch: DataFrame, _: int) -> None:
+        rows = batch.persist()  # read three times; a lost part is computed again from the source
+        try:
+            days = sorted(r[0] for r in rows.select(F.col(DATE).cast("date")).distinct().collect())
+            if not days:
+                return
+            old, merged = store.read(days[0], days[-1]), rows
+            if old is not None:
+                merged = rows.unionByName(old.join(rows.select(*KEYS), list(KEYS), "left_anti").where(F.col(DATE).isin(days)))
+            store.write(merged.select(*KEYS, *value_columns(rows)), days)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).start()

@@ -10,7 +10,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright import AllDays, CacheMissError, DayList, Panel, PanelStore, ValidationError, Weekdays, batch, validate
+from panelwright import HELD, AllDays, CacheMissError, Calendar, DayList, Panel, PanelStore, ValidationError, Weekdays, batch, configure, reset_settings, validate
+from panelwright.operators import timejoin
+from panelwright.plans.batches import Handle
 from panelwright.plans.held import Held
 
 START, END = date(2024, 1, 1), date(2024, 3, 15)
@@ -265,13 +267,15 @@ def test_store_modes(spark, tmp_path):
     with pytest.raises(CacheMissError):
         p.cached(store, "r").df(jan(1), jan(25))
     q = Panel.from_function(source, {"scale": 3.0}, AllDays())
-    q.cached(store, "w").df(jan(8), jan(8)).count()
+    q.cached(store, "w").df(jan(8), jan(8)).count()  # another panel's rows: kept apart
+    assert {r["as_of_date"].day: r["value"] for r in p.cached(store, "r").df(jan(1), jan(20)).collect()} == {1: 2.0, 8: 16.0, 15: 30.0}
+    store.of(p).write(q.df(jan(8), jan(8)), [jan(8)])
     values = {r["as_of_date"].day: r["value"] for r in p.cached(store, "r").df(jan(1), jan(20)).collect()}
     assert values == {1: 2.0, 8: 24.0, 15: 30.0}
     n = len(calls)
     assert p.cached(store, "l").df(jan(1), jan(10)).count() == 4 and len(calls) == n + 1
     parent = PanelStore(spark, str(tmp_path / "parent"), "day")
-    (q * 10).cached(parent, "w").df(jan(1), jan(2)).count()
+    parent.of(p).write((q * 10).df(jan(1), jan(2)), [jan(1), jan(2)])
     levels = p.cached(store, "a", (parent,)).df(jan(1), jan(9)).collect()
     assert {r["as_of_date"].day: r["value"] for r in levels} == {1: 30.0, 8: 24.0}
     with pytest.raises(ValueError):
@@ -316,3 +320,120 @@ def test_streaming_into_store(spark, tmp_path):
     query.stop()
     found = store.read(date(2024, 1, 1), date(2024, 1, 31))
     assert found.count() == 6 and found.agg(F.sum("value")).first()[0] == 18.0
+
+
+def test_ewm_carries_its_last_result_through_long_gaps(spark):
+    """Gaps over two blocks, which are 99 rows at a span of 5."""
+    n = 700
+    days = pd.date_range("2020-01-01", periods=n)
+    value = np.where((np.arange(n) > 20) & (np.arange(n) < 330) | (np.arange(n) > 333), np.nan, np.arange(n) % 17 * 1.5)
+    df = pd.DataFrame({"as_of_date": days, "id": 1, "value": value})
+    rows = [(d.date(), 1, None if np.isnan(v) else float(v)) for d, v in zip(days, value, strict=True)]
+    table = spark.createDataFrame(rows, "as_of_date date, id long, value double")
+    for func in ("mean", "var"):
+        got = Panel.from_table(table, AllDays()).ewm(5, func).to_pandas(days[0].date(), days[-1].date())["value"].to_numpy(float)
+        want = getattr(df["value"].ewm(span=5), func)().to_numpy()
+        assert np.allclose(got, want, equal_nan=True)
+
+
+class Fridays(Calendar):
+    def contains(self, d):
+        return d.weekday() == 4
+
+    def offset(self, d, n):
+        last = d - timedelta((d.weekday() - 4) % 7)
+        return d if n == 0 else last + timedelta(7 * n + (7 if n < 0 and last != d else 0))
+
+
+def test_own_calendar(spark):
+    days = [date(2024, 1, 1) + timedelta(i) for i in range(40)]
+    p = Panel.from_table(spark.createDataFrame([(d, 1, float(i)) for i, d in enumerate(days)], "as_of_date date, id long, value double"), Fridays())
+    moved = p.dt_shift(1).to_pandas(date(2024, 1, 12), date(2024, 1, 26))
+    assert [(r.as_of_date, r.value) for r in moved.itertuples()] == [(date(2024, 1, 12), 4.0), (date(2024, 1, 19), 11.0), (date(2024, 1, 26), 18.0)]
+    onto = p.align_to_calendar().to_pandas(date(2024, 1, 1), date(2024, 1, 31))
+    assert list(onto["as_of_date"]) == [date(2024, 1, d) for d in (5, 12, 19, 26)]
+
+
+def test_shift_keeps_the_time_of_day(spark):
+    at = datetime(2024, 1, 5, 15, 30)
+    for calendar, to in ((Weekdays(), datetime(2024, 1, 8, 15, 30)), (AllDays(), datetime(2024, 1, 6, 15, 30)), (DayList([date(2024, 1, 5), date(2024, 1, 11)]), datetime(2024, 1, 11, 15, 30))):
+        p = Panel.from_table(spark.createDataFrame([(at, 1, 2.0)], "as_of_date timestamp, id long, value double"), calendar)
+        rows = p.dt_shift(1).df(to.date(), to.date()).collect()
+        assert [(r["as_of_date"], r["value"]) for r in rows] == [(to, 2.0)]
+
+
+def test_keys_tell_panels_apart(spark):
+    df = spark.createDataFrame([(date(2024, 1, 1), 1, 2.0)], "as_of_date date, id long, value double")
+    p = Panel.from_table(df)
+    made = [p, p * 2, p * 3, p.rolling(2), p.rolling(3), Panel.from_table(df.where("id > 0")), Panel.from_table(df, DayList([date(2024, 1, 1)])), Panel.from_table(df, DayList([date(2024, 1, 2)]))]
+    made += [p.transform(lambda d, k=k: d.where(F.col("id") > k)) for k in (1, 2)] + [Panel.from_function(lambda s, e, k: df, {"k": k}) for k in (1, 2)]
+    assert len({m.key for m in made}) == len(made)
+    assert Panel.from_table(df).rolling(2).key == p.rolling(2).key
+
+
+def test_store_keeps_panels_apart_and_windows_whole(spark, tmp_path):
+    days = [date(2024, 1, 1) + timedelta(i) for i in range(20)]
+    p = Panel.from_table(spark.createDataFrame([(d, 1, float(i)) for i, d in enumerate(days)], "as_of_date date, id long, value double"), AllDays())
+    store = PanelStore(spark, str(tmp_path))
+    rolled = p.rolling(3, "sum")
+    rolled.cached(store).df(days[0], days[9]).count()
+    assert rolled.cached(store).to_pandas(days[0], days[19]).equals(rolled.to_pandas(days[0], days[19]))
+    assert list((p * 100).cached(store).to_pandas(days[0], days[4])["value"]) == [0, 100, 200, 300, 400]
+
+
+def test_store_computes_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(date(2024, 1, 1), i, 2.0) for i in range(10)], "as_of_date date, id long, value double")
+    p = Panel.from_table(df, AllDays()).transform(lambda d: d.mapInPandas(seen, d.schema))
+    p.cached(PanelStore(spark, str(tmp_path))).df(date(2024, 1, 1), date(2024, 1, 1)).count()
+    assert calls.value == 10
+
+
+def test_defaults_and_memory(spark, tmp_path):
+    df = spark.createDataFrame([(date(2024, 1, d), 1, float(d)) for d in (1, 2, 3)], "as_of_date date, id long, value double")
+    p, a, b = Panel.from_table(df, AllDays()), date(2024, 1, 1), date(2024, 1, 3)
+    configure(store_dir=str(tmp_path / "own"), parent_dirs=[str(tmp_path / "parent")])
+    HELD.reset()
+    HELD.configure(enabled=True)
+    try:
+        PanelStore(spark, str(tmp_path / "parent")).of(p).write((p * 10).df(a, a), [a])
+        assert list(p.cached().to_pandas(a, b)["value"]) == [10, 2, 3]
+        before = HELD.stats.hits
+        assert list(p.cached().to_pandas(a, b)["value"]) == [10, 2, 3]
+        assert HELD.stats.hits > before
+        HELD.configure(max_bytes=1)
+        assert len(HELD) == 0
+    finally:
+        HELD.configure(enabled=False, max_bytes=0)
+        reset_settings()
+
+
+@pytest.mark.parametrize(("text", "micros"), [("7d", 7 * 86400 * 10**6), ("1D2h", 26 * 3600 * 10**6), ("1.5h", 5400 * 10**6), ("500ms", 500_000), ("d", 86400 * 10**6), (timedelta(milliseconds=1500), 1_500_000), (None, None)])
+def test_tolerances(text, micros):
+    assert timejoin.microseconds(text) == micros
+
+
+def test_tolerance_below_a_second(spark):
+    t = datetime(2024, 1, 1, 12, 0, 0, 600_000)
+    left = spark.createDataFrame([(t, 1, 1.0)], "as_of_date timestamp, id long, a double")
+    right = spark.createDataFrame([(t - timedelta(milliseconds=700), 1, 5.0)], "as_of_date timestamp, id long, b double")
+    assert timejoin.asof_join(left, right, tolerance="700ms").first()["b"] == 5.0
+    assert timejoin.asof_join(left, right, tolerance="699ms").first()["b"] is None
+
+
+def test_handles_act_like_their_rows(spark):
+    df = spark.createDataFrame([(date(2024, 1, d), 1, float(d)) for d in (3, 1, 2)], "as_of_date date, id long, value double")
+    p = Panel.from_table(df, AllDays()).select(["value"])
+    with batch():
+        one, two = p.get_range(date(2024, 1, 1), date(2024, 1, 3)), p.get_range(date(2024, 1, 1), date(2024, 1, 3))
+    assert list(one["value"]) == [1, 2, 3] and len(one) == 3 and one.shape == (3, 3)
+    assert list((one[["value"]] + 1)["value"]) == [2, 3, 4]
+    assert (one == two).all().all() and hash(one) != hash(two)
+    waiting = Handle(p.df(date(2024, 1, 1), date(2024, 1, 3)))
+    assert list(-waiting["value"]) == [-1, -2, -3] and "value" in waiting
