@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import TMP, bounded_batches
 
-CACHE = 100_000
+CACHE = 300_000
 END = "</w>"
 #: Texts with one of these go through the library's own normalizer and word splitter:
 #: beyond U+024F lower case, composition and white space are not those of Python.
@@ -89,6 +89,9 @@ class ChunkEncoder:
         without white space. Letters alone are one word, whatever the pattern."""
         if chunk.isalpha():
             return self._word(chunk)
+        if chunk[:-1].isalpha() and not chunk[-1].isalnum():
+            (ids, text), (mark, sign) = self._word(chunk[:-1]), self._word(chunk[-1])
+            return ids + mark, f"{text} {sign}"
         if len(self.chunks) >= CACHE:
             self.chunks.clear()
         words = [self._word(w) for w in self.words.findall(chunk)]

@@ -1,17 +1,23 @@
-"""Best-fit packing of documents into sequences, improved by swaps.
+"""Best-fit packing of documents into sequences, by local search.
 
 A document is its token ids and a closing id; only a document longer than a sequence is
-cut. Pieces are dealt out evenly to tasks, which pack at most ``GROUP`` at a time: best
-fit in order of decreasing length, then local search. An exchange takes documents
-between two underfull bins - a move, one for one, or two for one - if that increases the
-sum of squared fills; fuller bins fill up and the emptiest run empty. The emptiest bins
-of every group, at most ``OPEN`` of them, are packed again with those of other groups,
-until one group holds all that is open. Lengths are shuffled, never texts.
+cut. Pieces are dealt out evenly to tasks, ``GROUP`` to each. There they get first bins,
+best fit in the order they come and once more longest first, and local search exchanges
+documents between underfull bins - a move, one for one, two for one - wherever that
+increases the sum of squared fills, until bins empty and no exchange is left. The fewer
+bins count.
+
+Bins that stay underfull are open: the emptiest of each group, with half its pieces at
+most, are dealt anew and searched on together with those of other groups. A round so has
+half as many groups as the one before at most, and the last one is a single group.
+A group whose underfull bins hold more than half its pieces keeps the fuller of them.
+Lengths are shuffled, never texts.
 
 Defined results
     null or empty text: the closing id alone; very long texts: cut, every token kept;
-    repeated rows: each is packed; an empty table: no pieces; further columns of the
-    input are left out. Bin numbers mean nothing beyond telling bins apart.
+    repeated rows and equal lengths: each is packed, which of equal ones goes where is
+    open; an empty table: no pieces; further columns of the input are left out. Bin
+    numbers mean nothing beyond telling bins apart.
 """
 
 from __future__ import annotations
@@ -27,13 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.bpe import ChunkEncoder, encoder
-from panelwright.llm.common import bounded_batches, materialize
+from panelwright.llm.common import bounded_batches, drop, materialize
 
 SIZE = 2048
 CLOSING_ID = 0
 GROUP = 65_536
-OPEN = 256
-PASSES = 12
 
 
 def cut(ids: bytes, size: int = SIZE) -> Iterator[tuple[int, int, int, int]]:
@@ -66,13 +70,12 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, text_col: str = "text",
 
 
 def best_fit(lengths: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """A bin for each length: the fullest bin that still has room, longest first. Bins
-    are found by their free space through one bit for each amount that is on offer."""
+    """First bins, in the order given: the fullest bin that still has room. Bins are found
+    by their free space through one bit for each amount that is on offer."""
     bins = np.empty(len(lengths), np.int64)
     offered: list[list[int]] = [[] for _ in range(size + 1)]
     mask, n = 0, 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        x = int(lengths[i])
+    for i, x in enumerate(lengths.tolist()):
         rest = mask >> x
         if rest:
             free = x + (rest & -rest).bit_length() - 1
@@ -90,128 +93,214 @@ def best_fit(lengths: np.ndarray, size: int = SIZE) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, size: int = SIZE, passes: int = PASSES) -> np.ndarray:
-    """Local search over underfull bins; the result uses no more bins."""
-    bins = bins.copy()
-    n = int(bins.max()) + 1 if len(bins) else 0
-    fill = np.bincount(bins, lengths, n).astype(np.int64)
-    part = np.flatnonzero(fill[bins] < size)
-    L, B = lengths[part].astype(np.int64), bins[part]
-    members: dict[int, set[int]] = {}
-    for k, b in enumerate(B.tolist()):
-        members.setdefault(b, set()).add(k)
-    live = np.array(sorted(members), np.int64)
-
-    def shift(k: int, to: int) -> None:
-        fill[B[k]] -= L[k]
-        members[int(B[k])].discard(k)
-        fill[to] += L[k]
-        members[to].add(k)
-        B[k] = to
-
-    def against(x: int, d: int) -> int:
-        """The item that x tokens of bin d best replace: a smaller one whose bin has room
-        for the difference and is at least as full as d would be."""
-        gain = x - L
-        room = size - fill[B] - gain
-        fits = np.flatnonzero((gain > 0) & (room >= 0) & (B != d) & (fill[B] + gain > fill[d]))
-        return int(fits[np.argmin(room[fits])]) if len(fits) else -1
-
-    def exchange(d: int) -> bool:
-        own = sorted(members[d], key=lambda k: -L[k])
-        for k in own:
-            free = size - fill[live]
-            fits = np.flatnonzero((free >= L[k]) & (live != d) & (fill[live] + L[k] > fill[d]))
-            if len(fits):
-                shift(k, int(live[fits[np.argmin(free[fits])]]))
-                return True
-            if (other := against(int(L[k]), d)) >= 0:
-                to = int(B[other])
-                shift(other, d)
-                shift(k, to)
+class Exchanges:
+    """Local search over underfull bins.
+
+    A document of y tokens in a bin with ``free`` room can be replaced by up to y + free
+    tokens: its capacity. So x tokens of bin d - one document, or two - go to a place of
+    capacity c >= x, and the document y < x that was there comes back. Empty room is such
+    a place with y = 0, which makes a move. The exchange leaves c - x free there, and the
+    sum of squared fills rises exactly if that is less than d had free.
+
+    Places are kept by capacity and y, with a bit for each of both that is on offer, so an
+    exchange is found without looking at other bins. The sum rises with each exchange, so
+    the search ends; it ends early only where no packing has fewer bins.
+    """
+
+    def __init__(self, lengths: np.ndarray, bins: np.ndarray, size: int):
+        self.size, self.total = size, int(lengths.sum())
+        self.bins = bins.tolist()
+        self.held: dict[int, dict[int, list[int]]] = {}
+        self.fill: dict[int, int] = {}
+        for i, (b, x) in enumerate(zip(self.bins, lengths.tolist(), strict=True)):
+            self.held.setdefault(b, {}).setdefault(x, []).append(i)
+            self.fill[b] = self.fill.get(b, 0) + x
+        self.at: list[dict[int, set[int]]] = [{} for _ in range(size + 1)]
+        self.lengths_at = [0] * (size + 1)
+        self.offered = 0
+        for b in self.fill:
+            self._offer(b)
+
+    def _offer(self, b: int) -> None:
+        free = self.size - self.fill[b]
+        if 0 < free < self.size:
+            for y in (0, *self.held[b]):
+                c = y + free
+                self.at[c].setdefault(y, set()).add(b)
+                self.lengths_at[c] |= 1 << y
+                self.offered |= 1 << c
+
+    def _withdraw(self, b: int) -> None:
+        free = self.size - self.fill[b]
+        if 0 < free < self.size:
+            for y in (0, *self.held[b]):
+                c = y + free
+                left = self.at[c][y]
+                left.discard(b)
+                if not left:
+                    del self.at[c][y]
+                    self.lengths_at[c] ^= 1 << y
+                    if not self.lengths_at[c]:
+                        self.offered ^= 1 << c
+
+    def _place(self, x: int, free: int) -> tuple[int, int] | None:
+        """The least capacity from x, and under x + ``free``, with a document under x."""
+        window = (self.offered >> x) & ((1 << free) - 1)
+        while window:
+            low = window & -window
+            c = x + low.bit_length() - 1
+            lengths = self.lengths_at[c]
+            y = (lengths & -lengths).bit_length() - 1
+            if y < x:
+                return c, y
+            window ^= low
+        return None
+
+    def _shift(self, x: int, a: int, b: int) -> None:
+        """One document of x tokens from bin a to bin b."""
+        here = self.held[a]
+        i = here[x].pop()
+        if not here[x]:
+            del here[x]
+        self.held[b].setdefault(x, []).append(i)
+        self.fill[a] -= x
+        self.fill[b] += x
+        self.bins[i] = b
+
+    def _once(self, d: int) -> bool:
+        free, own = self.size - self.fill[d], sorted(self.held[d], reverse=True)
+        for given in self._gifts(d, own):
+            found = self._place(sum(given), free)
+            if found:
+                c, y = found
+                b = next(iter(self.at[c][y]))
+                self._withdraw(b)
+                for x in given:
+                    self._shift(x, d, b)
+                if y:
+                    self._shift(y, b, d)
+                self._offer(b)
                 return True
-        for i, k in enumerate(own[:8]):
-            for q in own[i + 1 : 8]:
-                if (other := against(int(L[k] + L[q]), d)) >= 0:
-                    to = int(B[other])
-                    shift(other, d)
-                    shift(k, to)
-                    shift(q, to)
-                    return True
         return False
 
-    for _ in range(passes):
-        total = int(fill.sum())
-        if np.count_nonzero(fill) <= -(-total // size):
-            break
-        changed = False
-        for d in live[np.argsort(fill[live], kind="stable")][: 2 * OPEN].tolist():
-            while members[d] and fill[d] < size and exchange(d):
-                changed = True
-        live = live[fill[live] > 0]
-        if not changed:
-            break
-    bins[part] = B
-    return bins
+    def _gifts(self, d: int, own: list[int]) -> Iterator[tuple[int, ...]]:
+        for x in own:
+            yield (x,)
+        for i, x in enumerate(own):
+            for y in own[i if len(self.held[d][x]) > 1 else i + 1 :]:
+                if x + y <= self.size:
+                    yield x, y
+
+    def run(self) -> np.ndarray:
+        least, used = -(-self.total // self.size), sum(1 for f in self.fill.values() if f)
+        changed = True
+        while changed and used > least:
+            changed = False
+            for d in sorted((b for b, f in self.fill.items() if 0 < f < self.size), key=self.fill.__getitem__):
+                if not 0 < self.fill[d] < self.size or used == least:
+                    continue
+                self._withdraw(d)
+                while self.fill[d] and self._once(d):
+                    changed = True
+                used -= not self.fill[d]
+                self._offer(d)
+        return np.array(self.bins, np.int64)
+
 
+def improve(lengths: np.ndarray, bins: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """The bins after local search: no exchange is left, or no packing has fewer."""
+    return Exchanges(lengths, bins, size).run() if len(lengths) else bins.copy()
 
-def pack_group(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins numbered from 0, each item's offset in its bin, and each bin's fill."""
-    bins = improve(lengths, best_fit(lengths, size), size)
-    bins = np.unique(bins, return_inverse=True)[1]
+def search(lengths: np.ndarray, size: int = SIZE, bins: np.ndarray | None = None) -> np.ndarray:
+    """The fewest bins of local search from first bins of two kinds: ``bins``, or else best
+    fit in the order given, and best fit longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    longest = np.empty(len(lengths), np.int64)
+    longest[order] = best_fit(lengths[order], size)
+    found = [improve(lengths, first, size) for first in (best_fit(lengths, size) if bins is None else bins, longest)]
+    return min(found, key=lambda b: len(np.unique(b)))
+
+
+def places(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Each piece's offset in its bin."""
     order = np.argsort(bins, kind="stable")
-    ends = np.cumsum(lengths[order])
-    first = np.r_[True, bins[order][1:] != bins[order][:-1]] if len(order) else np.zeros(0, bool)
-    before = ends - lengths[order]
+    before = np.cumsum(lengths[order]) - lengths[order]
+    first = np.r_[True, np.diff(bins[order]) != 0][: len(order)]
     offset = np.empty(len(bins), np.int64)
-    offset[order] = before - np.maximum.accumulate(np.where(first, before, 0)) if len(order) else 0
-    return bins, offset, np.bincount(bins, lengths).astype(np.int64)
+    offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
+    return offset
+
+
+PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
+PACKED = f"{PIECE}, sequence_id long, offset long, open boolean"
+
+
+def packed(rows: pd.DataFrame, bins: np.ndarray, names: np.ndarray, keep_open: int, size: int) -> pd.DataFrame:
+    """``rows`` in their bins (0, 1, ...), which are called ``names``; the emptiest stay open,
+    with ``keep_open`` pieces at most."""
+    lengths = rows["length"].to_numpy(np.int64)
+    fill, pieces_in = np.bincount(bins, lengths).astype(np.int64), np.bincount(bins)
+    order = np.argsort(fill, kind="stable")
+    is_open = np.zeros(len(fill), bool)
+    is_open[order[np.cumsum(pieces_in[order]) <= keep_open]] = True
+    is_open &= fill < size
+    return rows.assign(sequence_id=names[bins], offset=places(lengths, bins), open=is_open[bins])
 
 
-def _round(df: DataFrame, number: int, groups: int, size: int) -> DataFrame:
+def _first_round(df: DataFrame, groups: int, group: int, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = number << 54 | TaskContext.get().partitionId() << 28
-        used, held, rows = 0, [], 0
+        base, held, count = TaskContext.get().partitionId() << 40, [], 0
 
         def flush() -> pd.DataFrame:
-            nonlocal used
-            got = pd.concat(held, ignore_index=True)
-            bins, offset, fill = pack_group(got["length"].to_numpy(np.int64), size)
-            emptiest = np.argsort(fill, kind="stable")[:OPEN]
-            is_open = np.zeros(len(fill), bool)
-            is_open[emptiest[fill[emptiest] < size]] = True
-            got["sequence_id"], got["offset"], got["open"] = base + used + bins, offset, is_open[bins] & (groups > 1)
-            used += len(fill)
-            return got
+            nonlocal base
+            rows = pd.concat(held, ignore_index=True)
+            bins = np.unique(search(rows["length"].to_numpy(np.int64), size), return_inverse=True)[1]
+            names = base + np.arange(bins.max() + 1)
+            base += len(names)
+            return packed(rows, bins, names, group // 2 if groups > 1 else 0, size)
 
         for b in batches:
             held.append(b)
-            rows += len(b)
-            if rows >= 2 * GROUP:
+            count += len(b)
+            if count >= 2 * group:
                 yield flush()
-                held, rows = [], 0
-        if rows:
+                held, count = [], 0
+        if count:
             yield flush()
 
-    given = "doc_id string, piece int, start long, length long, ids_crc32 long"
-    return df.repartition(groups).mapInPandas(run, given + ", sequence_id long, offset long, open boolean")
+    return df.repartition(groups).mapInPandas(run, PACKED)
+
+
+def _next_round(df: DataFrame, groups: int, group: int, size: int) -> DataFrame:
+    """Whole bins are dealt to ``groups`` groups; the bins there keep their names."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, bins = np.unique(rows["sequence_id"].to_numpy(np.int64), return_inverse=True)
+        lengths = rows["length"].to_numpy(np.int64)
+        found = np.unique(search(lengths, size, bins), return_inverse=True)[1]
+        return packed(rows[PIECES], found, names, group // 2 if groups > 1 else 0, size)
+
+    dealt = F.pmod(F.xxhash64("sequence_id"), F.lit(groups))
+    return df.groupBy(dealt.alias("dealt")).applyInPandas(run, PACKED)
+
+
+PIECES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, text_col: str = "text", id_col: str = "doc_id", group: int = GROUP) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
-    names = ["piece", "start", "length", "ids_crc32"]
+    group = max(2, group)
     todo = materialize(pieces(docs, path, size, text_col, id_col), "pieces")
     kind = dict(todo.dtypes)["doc_id"]
-    done: list[DataFrame] = []
-    while True:
-        groups = max(1, -(-todo.count() // group))
-        packed = _round(todo.select(F.col("doc_id").cast("string").alias("doc_id"), *names), len(done), groups, size)
-        packed = materialize(packed, "packed").withColumn("doc_id", F.col("doc_id").cast(kind))
-        done.append(packed.where("not open").drop("open"))
-        if groups == 1:
-            break
-        todo = packed.where("open").select("doc_id", *names)
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return found
+    groups = max(1, -(-todo.count() // group))
+    rounds = [materialize(_first_round(todo.withColumn("doc_id", F.col("doc_id").cast("string")), groups, group, size), "packed")]
+    drop(todo)
+    while groups > 1:
+        left = rounds[-1].where("open").drop("open", "offset")
+        groups = min(-(-left.count() // group), -(-groups // 2))
+        if groups:
+            rounds.append(materialize(_next_round(left, groups, group, size), "packed"))
+    found = rounds[-1]
+    for earlier in rounds[:-1]:
+        found = found.unionByName(earlier.where("not open"))
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), *PIECES[1:], "sequence_id", "offset")
