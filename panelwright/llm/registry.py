@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelwright.llm import bpe, chat_format, flac, language_id, license_scan, packing, quality_model, quality_rules, simhash, url_filter
 from panelwright.llm.common import table
@@ -27,6 +28,18 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def url_filters_with_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where components decide: of every three pages in order of their
+    ids, the second names the first as canonical and the third sends on to the second."""
+    pages = table(spark, sf_dir, "pages")
+    to = pages.select(F.col("page_id").alias("to_id"), F.col("url").alias("to_url"))
+    at = F.when(F.col("page_id") % 3 > 0, F.col("page_id") - 1)
+    canonical = F.concat(F.lit("<link rel='canonical' href='"), "to_url", F.lit("'>"))
+    refresh = F.concat(F.lit("<meta http-equiv='refresh' content='0; url="), "to_url", F.lit("'>"))
+    html = F.when(F.col("page_id") % 3 == 1, canonical).otherwise(refresh)
+    return url_filter.url_filter(pages.join(to, F.col("to_id") == at, "left").select("page_id", "url", html.alias("html")))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,6 +74,15 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(rows))
 
 
+#: The pages of ``url_filters_with_aliases``, before the query's own tables.
+ALIASED = """
+with recursive made as (
+  select p.page_id, p.url, case when p.page_id % 3 = 1 then concat('<link rel=''canonical'' href=''', t.url, '''>') else concat('<meta http-equiv=''refresh'' content=''0; url=', t.url, '''>') end as html
+  from pages p left join pages t on t.page_id = case when p.page_id % 3 > 0 then p.page_id - 1 end
+)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
@@ -74,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_simhash_near_dedup,
         op10_chat_formatting,
         language_of_pages,
+        url_filters_with_aliases,
     )
     return {f.__name__: f for f in found}
 
@@ -81,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filter.oracle(),
+        "url_filters_with_aliases": ALIASED + url_filter.oracle().strip().replace("with recursive p as", ", p as", 1).replace(" from pages\n", " from made\n", 1),
         "op5_license_scans": license_scan.oracle(),
         "op8_quality_rules": quality_rules.oracle(),
         "op10_chat_formatting": chat_format.ORACLE,

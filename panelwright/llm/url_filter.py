@@ -1,18 +1,21 @@
 r"""URL filters with redirect equivalence.
 
 A page's url is an alias of where its ``<link rel="canonical">`` points and of where its
-``<meta http-equiv="refresh">`` sends the reader; a table of observed redirects may add
-edges. Connected components over these edges are classes of aliases. A url without a
-rule of its own takes the decision of its class: allow if a member is explicitly
-allowed, else block if a member is blocked, else allow.
+``<meta http-equiv="refresh">`` sends the reader, each such link an edge; a table of
+observed redirects may add edges. Connected components over these edges are classes of
+aliases. A url without a rule of its own takes the decision of its class: allow if a
+member is explicitly allowed, else block if a member is blocked, else allow.
 
-A node is a url without scheme and fragment, its host in lower case and an empty path
-as ``/``. Targets count as members even if they were never fetched.
+A node is a url without scheme and fragment, its host in lower case and dot segments
+resolved. An empty path stays empty, as rules tell it from ``/``. Targets count as
+members even if they were never fetched; links are resolved by RFC 3986.
 
 Defined results
     null url or one without ``://``: host and path empty, no rule, allow;
-    null html: no edges; repeated rows: one result for each; equal urls share a node;
-    rules tied in length: the smaller string; an empty table: no rows.
+    null or empty html: no edges; very long urls and html: read whole; links to the page
+    itself or to what is no address (``mailto:``): no edge; repeated rows: one result for
+    each; equal urls share a node; rules tied in length: the smaller string; an empty
+    table: no rows; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -45,10 +48,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
+def _resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    whole = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(whole, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
     """The node of an absolute url; null if it is none."""
-    path = F.regexp_extract(url, URL, 2)
-    return F.when(url.contains("://"), F.concat(host_of(url), F.when(path == "", "/").otherwise(path), F.regexp_extract(url, URL, 3)))
+    return F.when(url.contains("://"), F.concat(host_of(url), _resolved(F.regexp_extract(url, URL, 2)), F.regexp_extract(url, URL, 3)))
 
 
 def _fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
@@ -70,12 +80,15 @@ def _hrefs(html: Column) -> Column:
 
 
 def _absolute(href: Column, scheme: Column, site: Column, path: Column) -> Column:
+    """What a link of the page names; null for the page itself and for other schemes."""
     folder = F.regexp_extract(F.when(path == "", "/").otherwise(path), r"(?s)^(.*/)", 1)
+    root = F.concat(scheme, F.lit("://"), site)
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(href.rlike(r"^[^:]*://"), href))
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(scheme, F.lit("://"), site, href))
-        .when(~href.startswith("#"), F.concat(scheme, F.lit("://"), site, folder, href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(root, path, href))
+        .when(~href.startswith("#"), F.concat(root, folder, href))
     )
 
 
@@ -131,19 +144,23 @@ def oracle(rules=RULES) -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     part = lambda url, k: f"coalesce(regexp_extract({url}, '^.*?://([^/?#]*)([^?#]*)([^#]*)', {k}, 's'), '')"
     host = lambda url: lower.format(part(url, 1))
-    node = lambda url: f"case when contains({url}, '://') then {host(url)} || case when {part(url, 2)} = '' then '/' else {part(url, 2)} end || {part(url, 3)} end"
+    step = "case when x = '..' then regexp_replace(done, '/[^/]*$', '') when x = '.' then done else done || '/' || x end"
+    resolved = lambda p: f"case when regexp_matches({p}, '/[.][.]?(/|$)') then list_reduce([''] || string_split({p}, '/')[2:], lambda done, x: {step}) || case when regexp_matches({p}, '/[.][.]?$') then '/' else '' end else {p} end"
+    node = lambda url: f"case when contains({url}, '://') then {host(url)} || {resolved(part(url, 2))} || {part(url, 3)} end"
     quoted = lambda p: p[5:].replace("'", "''").replace('\\"', '"')
-    tries = ", ".join(f"nullif(regexp_extract(html, '{quoted(p)}', 1, 'is'), '')" for p in (*CANONICAL, REFRESH))
+    tries = " || ".join(f"regexp_extract_all(html, '{quoted(p)}', 1, 'is')" for p in (*CANONICAL, REFRESH, REFRESH_LAST))
     return rf"""
 with recursive p as (
-  select page_id, url, {host("url")} as host, {part("url", 2)} as path, {node("url")} as node,
-    replace(coalesce({tries}), '&amp;', '&') as href, regexp_extract(url, '^(.*?)://', 1, 's') as scheme, {part("url", 1)} as site from pages
+  select page_id, url, html, {host("url")} as host, {part("url", 2)} as path, {node("url")} as node,
+    regexp_extract(url, '^(.*?)://', 1, 's') as scheme, {part("url", 1)} as site from pages
+), h as (
+  select node, path, scheme || '://' || site as root, scheme, replace(unnest({tries}), '&amp;', '&') as href from p where html is not null
 ), t as (
-  select *, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') then href when prefix(href, '//') then scheme || ':' || href
-    when prefix(href, '/') then scheme || '://' || site || href
-    when not prefix(href, '#') then scheme || '://' || site || regexp_extract(case when path = '' then '/' else path end, '^(.*/)', 1, 's') || href end as target from p
+  select node, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then case when regexp_matches(href, '^[^:]*://') then href end
+    when prefix(href, '//') then scheme || ':' || href when prefix(href, '/') then root || href when prefix(href, '?') then root || path || href
+    when not prefix(href, '#') then root || regexp_extract(case when path = '' then '/' else path end, '^(.*/)', 1, 's') || href end as target from h
 ), e as (
-  select node as a, {node("target")} as b from t where href is not null
+  select node as a, {node("target")} as b from t
 ), both_ways as (
   select a, b from e where a <> b union select b, a from e where a <> b
 ), reach(a, b) as (
