@@ -1,31 +1,39 @@
 """Quality classifier from positive and unlabelled texts.
 
 Trusted positives are the labelled good documents of the training folds; all documents of
-those folds are the unlabelled texts; the class prior is the share of good ones among
-the labels there. With the squared loss l(z) = (1 - z)^2 / 4 and a score linear in a
-basis of the text, the risks depend on the data through first and second moments alone:
+those folds are the unlabelled texts. Labels of bad documents are not used. With the
+squared loss l(z) = (1 - z)^2 / 4 and a score linear in features of the text, the risks
+depend on the data through first and second moments alone:
 
     R_p+(w) = E_p l(g)    R_p-(w) = E_p l(-g)    R_u-(w) = E_u l(-g)
 
 so one distributed pass sums the moments of both samples, over every row, and the driver
 minimises the non-negative unbiased risk  pi R_p+ + max(0, R_u- - pi R_p-)  exactly on
-matrices whose size depends on the basis only. The minimiser of this loss estimates
+matrices whose size depends on the features only. The minimiser of this loss estimates
 2 P(good | text) - 1, so (1 + g) / 2 is a probability.
 
-The basis are steps of a few measures of the text (repetition, symbols, capitals, bars,
-line and word lengths), so that the score is piecewise constant in each. Ids, labels,
-language and source are never part of it.
+The class prior pi is estimated from positives and unlabelled texts: the part of the
+unlabelled ones that score t or more, over the part of the positives that do, is at
+least pi and comes near it where hardly a bad text scores t. It is taken at the t where
+its upper confidence bound is least. The scores for that are of each half of the rows
+under weights learnt from the other half.
+
+Features are steps of a few measures of the text (repetition, symbols, capitals, bars,
+line and word lengths) and its hashed words and byte trigrams, as square roots of their
+shares in 256 steps. Ids, labels, language and source are never part of them.
 
 Defined results
     null or empty text: all measures 0, scored like any other; very long texts: measured
     whole; repeated rows: one result for each, all weighing in the moments; several
-    labels of an id: good if any says so; null labels or ids: no label; no labels, or of
-    one kind: ``DEFAULT_PRIOR``, and without positives every score is that prior;
-    an empty table: no rows; further columns pass through ``quality_filter`` unchanged.
+    labels of an id: good if any says so; null labels or ids: no label; without
+    positives every score is ``DEFAULT_PRIOR``, which is also the prior where a half of
+    the rows has none; an empty table: no rows; further columns, whatever their names,
+    pass through ``quality_filter`` unchanged.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +42,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import TMP, bounded_batches, materialize, split_fold
+from panelwright.llm.common import TMP, add_up, bounded_batches, drop, materialize, split_fold
 
 HELD_OUT = 2
 THRESHOLD = 0.7
 DEFAULT_PRIOR = 0.5
-RIDGE = 1e-3
+RIDGE = 1e-2
 MEASURES = 10
+#: Buckets of hashed trigrams, and of hashed words.
+HASHED = 64
 #: Upper ends of the steps, the same for every measure; all lie between 0 and 1.
 STEPS = (0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95)
-#: Rows of moments that one task adds up before they are added again.
-FAN_IN = 64
+#: Bins of scores, and the chance that a bound on the prior fails.
+BINS, DELTA = 400, 0.1
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b"#$%&*|<>")] = 1
@@ -79,46 +89,59 @@ def basis(x: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(x), 1)), steps.astype(np.float64)])
 
 
-SIZE = 1 + MEASURES * len(STEPS)
+def hashed(text: str | None) -> bytes:
+    """Square roots of the shares of hashed byte trigrams, then of hashed words, in bytes."""
+    lower = (text or "").lower()
+    b = np.frombuffer(f" {lower} ".encode(), np.uint8).astype(np.uint32)
+    grams = ((b[:-2] * 0x9E3B + b[1:-1] * 0x1F35 + b[2:] * 0x6D) >> 3) % HASHED
+    words = [zlib.crc32(w.encode()) % HASHED for w in lower.split()]
+    counts = [np.bincount(x, minlength=HASHED) for x in (grams, np.array(words, np.int64))]
+    return np.concatenate([np.rint(255 * np.sqrt(c / max(1, c.sum()))) for c in counts]).astype(np.uint8).tobytes()
+
+
+SIZE = 1 + MEASURES * len(STEPS) + 2 * HASHED
+_UPPER = np.triu_indices(SIZE)
+
+
+def vectors(x: pd.Series, h: pd.Series) -> np.ndarray:
+    """The features of rows: the basis of their measures, and what is hashed."""
+    shares = np.frombuffer(b"".join(h), np.uint8).reshape(len(h), 2 * HASHED) / 255
+    return np.hstack([basis(np.stack(x.to_numpy())), shares])
 
 
 def measured(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` and ``x``, the measures of each text."""
+    """``keep`` and, under an internal name, ``x`` and ``h`` of each text."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([measures(t) for t in texts])
+    @F.pandas_udf("x array<double>, h binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"x": [measures(t) for t in texts], "h": [hashed(t) for t in texts]})
 
-    return docs.select(*keep, run(F.col(text_col)).alias(f"{TMP}x"))
+    return docs.select(*keep, run(F.col(text_col)).alias(f"{TMP}f"))
 
 
-def moments(rows: DataFrame) -> dict[bool, np.ndarray]:
-    """For ``x, positive`` rows: the sum of z z' over all rows, and over positive ones
-    (z starts with a constant, so that counts and means are in it)."""
+def moments(rows: DataFrame, parts: int | None = None) -> dict[str, np.ndarray]:
+    """For ``x, h, half, positive`` rows: the sums of z z' by half, "u0" and "u1" over all rows
+    and "p0" and "p1" over positive ones (z starts with a constant, so that counts and
+    means are in them)."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, SIZE, SIZE))
+        sums = {k: np.zeros((SIZE, SIZE)) for k in ("u0", "u1", "p0", "p1")}
         for b in batches:
             if len(b):
-                z = basis(np.stack(b["x"].to_numpy()))
-                sums[0] += z.T @ z
-                good = z[b["positive"].to_numpy(bool)]
-                sums[1] += good.T @ good
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [sums.tobytes()]})
-
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s) for s in parts["sums"])
-        return pd.DataFrame({"part": [int(parts["part"].min()) // FAN_IN], "sums": [total.tobytes()]})
-
-    kind = "part long, sums binary"
-    sums = rows.mapInPandas(part, kind)
-    for _ in range(2):  # FAN_IN ** 2 partitions give one row to the driver
-        sums = sums.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(add, kind)
-    total = np.zeros((2, SIZE, SIZE))
-    for r in sums.collect():
-        total += np.frombuffer(r["sums"]).reshape(total.shape)
-    return {False: total[0], True: total[1]}
+                z, half, good = vectors(b["x"], b["h"]), b["half"].to_numpy(), b["positive"].to_numpy(bool)
+                for k in (0, 1):
+                    for name, rows in ((f"u{k}", z[half == k]), (f"p{k}", z[(half == k) & good])):
+                        sums[name] += rows.T @ rows
+        n = TaskContext.get().partitionId()
+        yield pd.DataFrame({"part": [n] * 4, "key": [*sums], "sums": [s[_UPPER].tobytes() for s in sums.values()]})
+
+    whole = {}
+    for k, upper in add_up(rows, part, np.float64, parts).items():
+        m = np.zeros((SIZE, SIZE))
+        m[_UPPER] = upper
+        whole[k] = m + np.triu(m, 1).T
+    return {k: whole.get(k, np.zeros((SIZE, SIZE))) for k in ("u0", "u1", "p0", "p1")}
 
 
 def minimise(unlabelled: np.ndarray, positive: np.ndarray, prior: float, ridge: float = RIDGE) -> np.ndarray:
@@ -150,43 +173,73 @@ def minimise(unlabelled: np.ndarray, positive: np.ndarray, prior: float, ridge:
     return solve(low)
 
 
+def tail_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The class prior from counts of scores in rising bins."""
+    n_u, n_p = unlabelled.sum(), positive.sum()
+    if not n_u or not n_p:
+        return DEFAULT_PRIOR
+    tail_u, tail_p = np.cumsum(unlabelled[::-1]) / n_u, np.cumsum(positive[::-1]) / n_p
+    seen = tail_p > 0
+    ratio = tail_u[seen] / tail_p[seen]
+    doubt = np.sqrt(np.log(4 / DELTA) / (2 * n_u)) + np.sqrt(np.log(4 / DELTA) / (2 * n_p))
+    return float(min(1.0, ratio[np.argmin(ratio + doubt / tail_p[seen])]))
+
+
+def estimated_prior(train: DataFrame, sums: dict[str, np.ndarray]) -> float:
+    """The prior of ``train`` (x, h, half, positive); at most ``BINS`` counts for each half and
+    sample go to the driver."""
+    if not all(m[0, 0] for m in sums.values()):
+        return DEFAULT_PRIOR
+    weights = [minimise(sums[f"u{1 - k}"], sums[f"p{1 - k}"], DEFAULT_PRIOR) for k in (0, 1)]
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series, h: pd.Series, half: pd.Series) -> pd.Series:
+        g = vectors(x, h) @ np.stack(weights, axis=1) if len(x) else np.zeros((0, 2))
+        g = g[np.arange(len(g)), half.to_numpy()]
+        return pd.Series(np.clip(np.floor((g + 1) / 2 * BINS), 0, BINS - 1).astype(np.int32))
+
+    counts = np.zeros((2, BINS))
+    for r in train.groupBy(place("x", "h", "half").alias("place"), "positive").count().collect():
+        counts[int(r["positive"]), r["place"]] += r["count"]
+    return tail_prior(counts.sum(axis=0), counts[1])
+
+
 def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, np.ndarray | None, float]:
-    """(``doc_id, x`` of every row, the weights, the prior)."""
-    fold = split_fold("doc_id")
-    known = labels.where("doc_id is not null and quality is not null").where(fold != HELD_OUT)
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = materialize(known, "labels")
-    counts = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")).first()
-    prior = counts["good"] / counts["n"] if counts["n"] and 0 < counts["good"] < counts["n"] else DEFAULT_PRIOR
-    x = materialize(measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(f"{TMP}text")), f"{TMP}text", ("doc_id",)), "measures")
-    good = known.where("quality = 1").select(F.col("doc_id").alias("good"))
-    train = x.where(fold != HELD_OUT).join(good, F.col("doc_id") == F.col("good"), "left")
-    sums = moments(train.select(F.col(f"{TMP}x").alias("x"), F.col("good").isNotNull().alias("positive")))
-    weights = minimise(sums[False], sums[True], prior) if sums[True][0, 0] else None
-    return x, weights, prior
-
-
-def _score(column: str, weights: np.ndarray | None, prior: float) -> Column:
+    """(``doc_id`` and the features of every row, the weights, the prior)."""
+    spark, fold = docs.sparkSession, split_fold("doc_id")
+    good = labels.where("doc_id is not null and quality = 1").where(fold != HELD_OUT).select(F.col("doc_id").alias("good")).distinct()
+    features = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(f"{TMP}text")), f"{TMP}text", ("doc_id",))
+    features = materialize(features, "features")
+    train = features.where(fold != HELD_OUT).join(good, F.col("doc_id") == F.col("good"), "left")
+    train = train.select(F.col(f"{TMP}f.x").alias("x"), F.col(f"{TMP}f.h").alias("h"), F.least(fold, F.lit(1)).alias("half"), F.col("good").isNotNull().alias("positive"))
+    parts = max(features.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = moments(train, parts)
+    prior = estimated_prior(train, sums)
+    u, p = sums["u0"] + sums["u1"], sums["p0"] + sums["p1"]
+    return features, minimise(u, p, prior) if p[0, 0] else None, prior
+
+
+def _score(column: str, weights: np.ndarray | None) -> Column:
     @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
+    def run(x: pd.Series, h: pd.Series) -> pd.Series:
         if weights is None or not len(x):
-            return pd.Series(np.full(len(x), prior))
-        g = basis(np.stack(x.to_numpy())) @ weights
-        return pd.Series(np.clip((1 + g) / 2, 0.0, 1.0))
+            return pd.Series(np.full(len(x), DEFAULT_PRIOR))
+        return pd.Series(np.clip((1 + vectors(x, h) @ weights) / 2, 0.0, 1.0))
 
-    return run(F.col(column))
+    return run(F.col(f"{column}.x"), F.col(f"{column}.h"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
-    x, weights, prior = scored(docs, labels, text_col, id_col)
-    df = x.select("doc_id", (split_fold("doc_id") == HELD_OUT).alias("held_out"), _score(f"{TMP}x", weights, prior).alias("score"))
+    features, weights, _ = scored(docs, labels, text_col, id_col)
+    df = features.select("doc_id", (split_fold("doc_id") == HELD_OUT).alias("held_out"), _score(f"{TMP}f", weights).alias("score"))
     return df.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are predicted good; each row is judged by its own text."""
-    _, weights, prior = scored(docs, labels, text_col, id_col)
-    x, s = f"{TMP}x", f"{TMP}score"
-    df = measured(docs, text_col, tuple(docs.columns)).withColumn(s, _score(x, weights, prior))
+    features, weights, _ = scored(docs, labels, text_col, id_col)
+    drop(features)
+    s = f"{TMP}score"
+    df = measured(docs, text_col, tuple(docs.columns)).withColumn(s, _score(f"{TMP}f", weights))
     return df.where(F.col(s) >= THRESHOLD).select(*docs.columns)
