@@ -29,6 +29,12 @@ def _median(c: Column, span: WindowSpec) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
+def _rank(c: Column, span: WindowSpec) -> Column:
+    """The place of the row's own value among the span's, ties sharing their mean place."""
+    found = F.collect_list(c).over(span)
+    return F.when(c.isNotNull(), F.size(F.filter(found, lambda x: x < c)) + (F.size(F.filter(found, lambda x: x == c)) + 1) / 2)
+
+
 def _moment(c: Column, span: WindowSpec, name: str) -> Column:
     n = F.count(c).over(span).cast("double")
     if name == "skew":
@@ -48,6 +54,8 @@ def aggregate(c: Column, span: WindowSpec, func: str, min_periods: int) -> Colum
         out = F.coalesce(out, F.lit(0.0)) if func == "sum" else out
     elif func == "median":
         out = _median(c, span)
+    elif func == "rank":
+        out = _rank(c, span)
     elif func in ("skew", "kurt"):
         out = _moment(c, span, func)
     elif func == "sem":

@@ -437,3 +437,32 @@ def test_handles_act_like_their_rows(spark):
     assert (one == two).all().all() and hash(one) != hash(two)
     waiting = Handle(p.df(date(2024, 1, 1), date(2024, 1, 3)))
     assert list(-waiting["value"]) == [-1, -2, -3] and "value" in waiting
+
+
+def test_rolling_rank(panel, raw):
+    want = raw.set_index(["as_of_date", "id"]).sort_index()[["value"]].groupby(level="id", group_keys=False).rolling(5, min_periods=2).rank()
+    rows = panel.select(["value"]).rolling(5, "rank", 2).to_pandas(START, END)
+    have = rows.set_index(["id", "as_of_date"])["value"].sort_index().to_numpy(float)
+    assert np.allclose(have, want.droplevel(0)["value"].reorder_levels(["id", "as_of_date"]).sort_index().to_numpy(float), equal_nan=True)
+
+
+@pytest.mark.parametrize("freq", ["W-WED", "W-SUN", "MS", "QS", "D", "YE"])
+@pytest.mark.parametrize("func", ["sum", "size", "nunique", "prod", "last"])
+def test_more_buckets(panel, raw, freq, func):
+    rows = panel.select(["size"]).resample(freq, func).to_pandas(START, END)
+    for i, g in raw.groupby("id"):
+        want = getattr(g.assign(as_of_date=pd.to_datetime(g["as_of_date"])).set_index("as_of_date")["size"].resample(freq), func)()
+        have = rows[rows["id"] == i]
+        assert [str(d) for d in have["as_of_date"]] == [str(d.date()) for d in want.index]
+        assert np.allclose(have["size"].to_numpy(float), want.to_numpy(float), equal_nan=True)
+
+
+def test_asof_without_by_over_hours(spark):
+    """Times within hours, on their borders, and hours without facts, against pandas."""
+    rng = np.random.default_rng(5)
+    at = lambda n: sorted({datetime(2024, 1, 1) + timedelta(minutes=int(m) * 15) for m in rng.integers(0, 24 * 4 * 6, n)})
+    left, right = pd.DataFrame({"as_of_date": at(150)}), pd.DataFrame({"as_of_date": [*at(25), datetime(2024, 1, 9)]})
+    left["id"], left["a"], right["id"], right["b"] = 1, 1.0, 2, np.arange(len(right)) * 1.0
+    got = timejoin.asof_join(spark.createDataFrame(left), spark.createDataFrame(right), by=None).orderBy("as_of_date").toPandas()
+    want = pd.merge_asof(left, right.drop(columns="id"), on="as_of_date")
+    assert np.allclose(got["b"].to_numpy(float), want["b"].to_numpy(float), equal_nan=True)
