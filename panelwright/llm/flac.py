@@ -333,6 +333,7 @@ def _residuals(packets: list[bytes], subs: list[dict]) -> list[np.ndarray]:
     escaped = np.zeros(len(subs), bool)
 
     def read(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        p = np.minimum(p, len(bits) - 40)  # packets with escapes run astray; they are read again alone
         return window[p >> 3].astype(np.int64) >> (32 - (p & 7) - n) & ((1 << n) - 1)
 
     for j, a in enumerate(running.tolist()):
@@ -346,7 +347,7 @@ def _residuals(packets: list[bytes], subs: list[dict]) -> list[np.ndarray]:
         kk = k[:a]
         u = (one - p) << kk
         p = one + 1
-        u |= read(np.minimum(p, len(bits) - 40), kk)
+        u |= read(p, kk)
         out[j, :a] = u >> 1 ^ -(u & 1)
         pos[:a] = p + kk
     found: list[np.ndarray] = [np.empty(0)] * len(subs)
