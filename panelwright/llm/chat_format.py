@@ -16,7 +16,8 @@ formatted conversation, and ``loss`` marks the parts of assistant turns.
 Defined results
     null text: empty text; null role: an empty role, never under the loss mask;
     equal turn numbers: ordered by role, then text; repeated rows: each is a turn;
-    null conv_id: one conversation of its own; an empty table: no conversations.
+    null conv_id: one conversation of its own; very long texts: formatted whole; further
+    columns, whatever their names, are left out; an empty table: no conversations.
 A conversation is one output row, so its turns do meet in one task: the result itself,
 one text and its digests, has that size.
 """

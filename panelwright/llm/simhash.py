@@ -15,9 +15,10 @@ chunks, and no fingerprint is left out.
 
 Defined results
     null or empty text, or white space alone: fingerprint 0, linked like any other;
-    under three words: one shingle of all words; repeated rows and equal texts: one
-    component; null ids: a row each, never a component's id unless it has no other;
-    an empty table: no rows; further columns of the input are left out.
+    under three words: one shingle of all words; very long texts: read whole, their
+    hashes summed in parts; repeated rows and equal texts: one component; null ids: a row each, never a component's id unless it has no other;
+    an empty table: no rows; further columns of the input, whatever their names, are left
+    out.
 """
 
 from __future__ import annotations

@@ -325,6 +325,14 @@ def test_url_classes_follow_every_link(spark):
     assert sorted(map(str, c.sql(url_filter.oracle()).fetchall())) == sorted(str(tuple(r)) for r in got)
 
 
+def test_urls_empty_long_and_with_clashing_columns(spark):
+    far = "http://a.net/" + "x" * 50_000
+    rows = [(1, "", "", "v"), (2, far, "y" * 200_000 + '<link rel="canonical" href="http://b.org/z">', "v"), (3, "http://b.org/z", "", None), (4, "://", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "node", "decision", "a", "b")})
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.url_filter(pages).collect()}
+    assert got == {1: ("", "", None, "allow"), 2: ("a.net", "/" + "x" * 50_000, "net/", "block"), 3: ("b.org", "/z", None, "block"), 4: ("", "", None, "allow")}
+
+
 def _alias_classes(pages, redirects=()):
     """Verdicts by plain Python: links cut out by hand, urls joined by the standard library."""
     rules = {"net/": ("net", "/", "block"), "example.net/en/": ("example.net", "/en/", "allow"), "example.com/de/": ("example.com", "/de/", "block"), "org/fr/": ("org", "/fr/", "allow")}
@@ -494,6 +502,15 @@ def test_chats_round_trip(spark):
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
 
 
+def test_chats_of_long_texts_and_clashing_columns(spark):
+    long = prose(6, 50_000) + " <|end|>"
+    rows = spark.createDataFrame([(1, 0, "user", "hi", "x", "y"), (1, 1, "assistant", long, "x", "y")], "conv_id long, turn long, role string, text string, segments string, formatted string")
+    formatted = chat_format.format_chats(rows)
+    assert formatted.columns == ["conv_id", "formatted", "segments"]
+    r = chat_format.chat_digests(formatted).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 # 6
 
 
