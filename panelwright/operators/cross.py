@@ -2,7 +2,9 @@
 
 Means, deviations and quantiles are aggregated map-side and joined back to the rows, so
 the panel itself is not shuffled into as many tasks as it has dates. The joined side
-has a row for each date; it is broadcast only where the range asked for bounds it.
+has a row for each date; it is broadcast only where the range asked for and the number
+of columns bound its size. Exact quantiles keep a date's distinct values in a task's
+memory, as counts that are added map-side; ranks sort a date in one task, which spills.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from panelwright.functions.expressions import clip
 from panelwright.operators.windows import check_quantiles
 from panelwright.plans.keys import DATE, each, numeric_columns
 
-#: Dates up to which the statistics are surely small: under 10 MB for a dozen columns.
-MAX_BROADCAST_DAYS = 40_000
+#: Bytes of statistics that are broadcast, and what a statistic takes at most.
+MAX_BROADCAST, PER_VALUE = 8 << 20, 48
 
 
 def per_date(df: DataFrame, stats: list, days: int | None) -> DataFrame:
     """``df`` with the aggregates of each row's date."""
     table = df.groupBy(F.col(DATE).alias("__date")).agg(*stats)
-    if days is not None and days <= MAX_BROADCAST_DAYS and isinstance(df.schema[DATE].dataType, T.DateType):
+    if days is not None and days * (len(stats) + 1) * PER_VALUE <= MAX_BROADCAST and isinstance(df.schema[DATE].dataType, T.DateType):
         table = F.broadcast(table)
     return df.join(table, F.col(DATE) == F.col("__date"), "left")
 

@@ -124,8 +124,8 @@ def check_quantiles(lower: float, upper: float) -> None:
 
 
 def winsorize(df: DataFrame, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
-    """Clip at the quantiles of each id over the whole range. The quantiles are aggregated
-    map-side first and joined back, so a hot id is not sorted in one task."""
+    """Clip at the quantiles of each id over the whole range. They are exact: counts of an
+    id's distinct values are added map-side and kept in a task's memory, then joined back."""
     check_quantiles(lower, upper)
     names = numeric_columns(df)
     bounds = df.groupBy(F.col(ID).alias("__id")).agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(lower), F.lit(upper))).alias(f"__q_{c}") for c in names])
