@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import asyncio
 import itertools
 import tempfile
 from collections.abc import Callable
 from datetime import date, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.functions.calendars import AllDays, Calendar, DayList, Weekdays
 from panelwright.panel import Panel
+from panelwright.plans.batches import batch
+from panelwright.plans.held import HELD
 from panelwright.plans.keys import DATE, ID
+from panelwright.plans.settings import configure, reset_settings
 from panelwright.sources.store import PanelStore
 
 USER_RANGE = (date(2024, 1, 1), date(2024, 1, 31))
@@ -311,7 +317,100 @@ def _register_store() -> None:
     _panel("flagship", "u", lambda p: p.rolling(5).cs_zscore(), f", m as (select as_of_date, id, {parts} from p) select as_of_date, id, {r(score.replace('(x', '(value'), 'value')}, {r(score.replace('(x', '(n'), 'n')} from m")
 
 
-for _register in (_register_rows, _register_arithmetic, _register_windows, _register_resample, _register_joins, _register_calendars, _register_store):
+def _back(p: Panel, rows) -> DataFrame:
+    """Rows that were on the driver, as a table again; there they are the result asked for."""
+    spark = p.df(*(USER_RANGE[0],) * 2).sparkSession
+    return spark.createDataFrame(rows, "as_of_date date, id long, value double, n double") if isinstance(rows, pd.DataFrame) else spark.createDataFrame(rows)
+
+
+def _register_reading() -> None:
+    whole = _rows("@", "u")
+    span = USER_RANGE
+
+    def scaled(start, end, panel, scale):
+        return panel.df(start, end).withColumn("value", F.col("value") * scale)
+
+    def parquet(p: Panel) -> Panel:
+        def build(s, e):
+            store = _stored(p.df(s, s).sparkSession)
+            p.df(s, e).withColumnsRenamed({DATE: "day", ID: "who"}).write.parquet(store.path)
+            return Panel.from_parquet(store.spark, store.path, AllDays(), "day", "who").df(s, e)
+
+        return Panel(build)
+
+    def empty_dates(p: Panel) -> Panel:
+        def build(s, e):
+            store, first = _stored(p.df(s, s).sparkSession, "year"), date(2023, 12, 20)
+            p.cached(store).df(first, date(2024, 1, 10)).count()
+            return p.cached(store, "r").df(first, date(2024, 1, 10))
+
+        return Panel(build)
+
+    def in_memory(p: Panel) -> Panel:
+        def build(s, e):
+            kept, was = p.cached(_stored(p.df(s, s).sparkSession)), HELD.enabled
+            HELD.configure(enabled=True, max_bytes=1 << 28)
+            try:
+                kept.df(s, e).count()
+                return kept.df(s, e)
+            finally:
+                HELD.configure(enabled=was, max_bytes=0)
+
+        return Panel(build)
+
+    def defaults(p: Panel) -> Panel:
+        def build(s, e):
+            spark = p.df(s, s).sparkSession
+            own, parent = _stored(spark), _stored(spark)
+            configure(store_dir=own.path, parent_dirs=[parent.path])
+            try:
+                parent.of(p).write((p * 3).df(s, s), [s])
+                return p.cached().df(s, e)
+            finally:
+                reset_settings()
+
+        return Panel(build)
+
+    def batched(p: Panel) -> Panel:
+        def build(s, e):
+            middle = date(2024, 1, 15)
+            with batch():
+                one, two = p.get_range(s, middle), p.get_range(middle + timedelta(1), e)
+            return _back(p, pd.concat([one.pandas(), two.pandas()], ignore_index=True))
+
+        return Panel(build)
+
+    def handled(p: Panel) -> Panel:
+        def build(s, e):
+            with batch():
+                found = p.get_range(s, e)
+            rows = found.assign(value=(found["value"] + 1) * 2, n=-found["n"])
+            return _back(p, rows[found["value"] >= 20])
+
+        return Panel(build)
+
+    def ordered(p: Panel) -> Panel:
+        return Panel(lambda s, e: _back(p, (rows := p.to_pandas(s, e)).assign(n=np.arange(len(rows), dtype=float))))
+
+    _panel("s1_function_source", "u", lambda p: Panel.from_function(scaled, {"panel": p, "scale": 2.0}, AllDays()), f"select as_of_date, id, {r('value * 2', 'value')}, {r('n', 'n')} from p")
+    _panel("s4_async_scan", "u", lambda p: Panel(lambda s, e: _back(p, asyncio.run(p.aget_range(s, e)))), whole)
+    _panel("s5_from_parquet", "u", parquet, whole)
+    _panel("s10_known_empty_dates", "u", empty_dates, f"{whole} where as_of_date <= '2024-01-10'")
+    _panel("s12_memory_cache", "u", in_memory, whole)
+    _panel("s14_defaults", "u", defaults, _rows(f"@ * case when as_of_date = '{span[0]}' then 3 else 1 end", "u"))
+    _panel("u2_nested_panels", "u", lambda p: Panel.from_function(lambda s, e: p.rolling(2, "sum", 1).df(s, e), None, AllDays()), _rows("sum(@) over (partition by id order by as_of_date rows between 1 preceding and current row)", "u"))
+    _panel("u3_own_operator", "u", lambda p: p.transform(lambda df, k: df.withColumn("n", F.col("value") - k), 3.0), f"select as_of_date, id, {r('value', 'value')}, {r('value - 3', 'n')} from p")
+    _panel("u4_to_pandas", "u", lambda p: Panel(lambda s, e: _back(p, p.to_pandas(s, e))), whole)
+    _panel("u5_to_arrow", "u", lambda p: Panel(lambda s, e: _back(p, p.to_arrow(s, e))), whole)
+    _panel("e1_batch", "u", batched, whole)
+    _panel("e3_handles", "u", handled, f"select as_of_date, id, {r('(value + 1) * 2', 'value')}, {r('-n', 'n')} from p where value >= 20")
+    _panel("e4_ordered_sink", "u", ordered, f"select as_of_date, id, {r('value', 'value')}, {r('(row_number() over (order by as_of_date, id) - 1)::double', 'n')} from p")
+    _panel("g1_resample_D_sum", "u", lambda p: p.resample("D", "sum"), f", b as (select id, min(as_of_date)::timestamp as lo, max(as_of_date)::timestamp as hi from p group by id), grid as (select id, unnest(generate_series(lo, hi, interval 1 day))::date as as_of_date from b) select grid.as_of_date, grid.id, {r('coalesce(value, 0)', 'value')}, {r('coalesce(n, 0)', 'n')} from grid left join p using (as_of_date, id)")
+    place = "(select count(*) from p q where q.id = p.id and q.as_of_date between p.as_of_date - 10000 and p.as_of_date"
+    _panel("t2_expanding_rank", "u", lambda p: p.select(["value"]).expanding("rank"), f"select as_of_date, id, {r(f'{place} and q.value < p.value) + ({place} and q.value = p.value) + 1) / 2.0', 'value')} from p")
+
+
+for _register in (_register_rows, _register_arithmetic, _register_windows, _register_resample, _register_joins, _register_calendars, _register_store, _register_reading):
     _register()
 
 
