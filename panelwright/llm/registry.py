@@ -61,6 +61,11 @@ def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(table(spark, sf_dir, "documents"))
 
 
+def flac_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ``op7_flac_media`` what SQL can say: the payload that was read back."""
+    return op7_flac_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,16 @@ with recursive made as (
 """
 
 
+PAYLOADS = r"""
+with texts as (
+  select doc_id, encode(coalesce(text, '')) as b from documents
+), payloads as (
+  select doc_id, octet_length(b) as n, b || repeat('\x00'::blob, case when octet_length(b) = 0 then 64 else (64 - octet_length(b) % 64) % 64 end) as payload from texts
+)
+select doc_id, n::bigint as n_bytes, octet_length(payload)::bigint as payload_bytes, sha256(payload) as payload_sha256 from payloads
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_classifier,
@@ -97,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_chat_formatting,
         language_of_pages,
         url_filters_with_aliases,
+        flac_payloads,
     )
     return {f.__name__: f for f in found}
 
@@ -106,6 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": url_filter.oracle(),
         "url_filters_with_aliases": ALIASED + url_filter.oracle().strip().replace("with recursive p as", ", p as", 1).replace(" from pages\n", " from made\n", 1),
         "op5_license_scans": license_scan.oracle(),
+        "flac_payloads": PAYLOADS,
         "op8_quality_rules": quality_rules.oracle(),
         "op10_chat_formatting": chat_format.ORACLE,
     }
