@@ -225,8 +225,8 @@ def language_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is known. A row's result depends on its text and
     host alone, so rows go by the two hashes of both that were found unknown; that table is
     broadcast only if Spark finds it small enough."""
-    both = F.struct("text", "source")
-    keys = {f"{TMP}k{i}": F.xxhash64(F.lit(i), both) for i in range(2)}
+    # the number between them tells a null text from a null source
+    keys = {f"{TMP}k{i}": F.xxhash64(F.lit(i), F.col("text"), F.lit(1), F.col("source")) for i in range(2)}
     df = fuse(docs, model_of(docs), "text", F.col("source"), declared_in(F.col("text")), keys)
     unknown = materialize(df.where(F.col(f"{TMP}lang") == UNKNOWN).select(*keys).distinct(), "unknown")
     return docs.withColumns({f"{k}_own": c for k, c in keys.items()}).join(unknown, [F.col(f"{k}_own") == F.col(k) for k in keys], "left_anti").select(*docs.columns)

@@ -535,6 +535,12 @@ def test_other_languages_and_gibberish_are_unknown(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(got[got.language != "und"].doc_id)
 
 
+def test_filter_tells_null_texts_from_null_sources(spark):
+    rows = [(i, "the dog of the house is in the garden", "en", None) for i in range(20)]
+    docs = docs_of(spark, [*rows, (100, None, "en", "the dog of the house is in the garden")])
+    assert sorted(r["doc_id"] for r in language_id.language_filter(docs).collect()) == list(range(20))
+
+
 def test_languages_of_other_scripts_are_learnt(spark):
     said = {"ja": "これは日本語の文章です 今日は天気がいいです", "ar": "كيف حالك اليوم كل شيء بخير والطقس جميل", "hi": "यह हिंदी में एक वाक्य है और मौसम अच्छा है", "en": "this is a sentence and the weather is good today"}
     r = random.Random(2)
