@@ -65,7 +65,9 @@ class Calendar(ABC):
         return joined.select(*[on_day(df, F.col("__to")).alias(c) if c == DATE else F.col(c) for c in df.columns])
 
     def __repr__(self) -> str:
-        return f"{type(self).__name__}()"
+        """What the calendar is and holds: panels that differ in it have different keys."""
+        held = ", ".join(f"{k}={v!r}" for k, v in sorted(vars(self).items()))
+        return f"{type(self).__qualname__}({held})"
 
 
 class AllDays(Calendar):
