@@ -236,10 +236,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
     return df.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def _score_of(text_col: str, weights: np.ndarray | None) -> Column:
+    """The same from the text, in one function."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        if weights is None or not len(texts):
+            return pd.Series(np.full(len(texts), DEFAULT_PRIOR))
+        z = vectors(pd.Series([measures(t) for t in texts]), pd.Series([hashed(t) for t in texts]))
+        return pd.Series(np.clip((1 + z @ weights) / 2, 0.0, 1.0))
+
+    return run(F.col(text_col))
+
+
 def quality_filter(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are predicted good; each row is judged by its own text."""
     features, weights, _ = scored(docs, labels, text_col, id_col)
     drop(features)
-    s = f"{TMP}score"
-    df = measured(docs, text_col, tuple(docs.columns)).withColumn(s, _score(f"{TMP}f", weights))
-    return df.where(F.col(s) >= THRESHOLD).select(*docs.columns)
+    return docs.where(_score_of(text_col, weights) >= THRESHOLD)
