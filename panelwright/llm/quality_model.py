@@ -158,7 +158,7 @@ def minimise(unlabelled: np.ndarray, positive: np.ndarray, prior: float, ridge:
     def solve(t: float) -> np.ndarray:
         quadratic = prior * p + t * (u - prior * p) + eye
         linear = prior * m_p - t * (m_u - prior * m_p)
-        return np.linalg.lstsq(quadratic, linear, rcond=1e-10)[0]
+        return np.linalg.solve(quadratic, linear)
 
     def negative(w: np.ndarray) -> float:
         return float((1 + 2 * w @ m_u + w @ u @ w) / 4 - prior * (1 + 2 * w @ m_p + w @ p @ w) / 4)
