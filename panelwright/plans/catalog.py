@@ -376,7 +376,7 @@ def _register_reading() -> None:
             middle = date(2024, 1, 15)
             with batch():
                 one, two = p.get_range(s, middle), p.get_range(middle + timedelta(1), e)
-            return _back(p, pd.concat([one.pandas(), two.pandas()], ignore_index=True))
+            return one.table().unionByName(two.table())
 
         return Panel(build)
 

@@ -39,3 +39,11 @@ def test_every_sql_has_a_query():
 def test_equal_to_sql(spark, db, name):
     got, want = catalog.queries()[name](spark, str(DATA)).toPandas(), db.sql(catalog.oracle_sql()[name]).df()
     assert _rows(got) == _rows(want)
+
+
+def test_batch_query_leaves_rows_beside_the_data(spark, db, monkeypatch):
+    with monkeypatch.context() as m:
+        for name in ("toPandas", "collect", "toArrow"):
+            m.setattr(type(spark.range(0)), name, lambda self: pytest.fail("rows went to the driver"))
+        found = catalog.queries()["e1_batch"](spark, str(DATA))
+    assert _rows(found.toPandas()) == _rows(db.sql(catalog.oracle_sql()["e1_batch"]).df())

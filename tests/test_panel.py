@@ -439,6 +439,40 @@ def test_handles_act_like_their_rows(spark):
     assert list(-waiting["value"]) == [-1, -2, -3] and "value" in waiting
 
 
+def test_batch_keeps_rows_beside_the_data(spark, panel, tmp_path, monkeypatch):
+    monkeypatch.setattr("panelwright.plans.batches._place", lambda spark: str(tmp_path / "kept"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for rows in parts:
+            calls.add(len(rows))
+            yield rows
+
+    df = spark.createDataFrame([(date(2024, 1, d), 1, float(d)) for d in (3, 1, 2)], "as_of_date date, id long, value double")
+    odd = Panel.from_table(df.mapInPandas(seen, df.schema), AllDays()).transform(lambda d: d.select("*", F.lit(None).alias("none"), F.lit("x").alias("Value"), F.lit("a b").alias("twice"), F.lit(2).alias("twice")))
+    with monkeypatch.context() as m:
+        for name in ("toPandas", "collect", "toArrow"):
+            m.setattr(type(df), name, lambda self: pytest.fail("rows went to the driver"))
+        with batch():
+            found = odd.get_range(date(2024, 1, 1), date(2024, 1, 3))
+        table = found.table()
+        assert calls.value == 3 and list((tmp_path / "kept").glob("*.parquet"))
+    assert [(f.name, f.dataType) for f in table.schema] == [(f.name, f.dataType) for f in found.plan.schema]
+    want = [(date(2024, 1, d), 1, float(d), None, "x", "a b", 2) for d in (1, 2, 3)]
+    assert sorted(map(tuple, table.collect())) == want == list(found.pandas().itertuples(index=False, name=None))
+    assert calls.value == 3 and table.count() == 3  # computed once; a table given out stays
+    with batch():
+        rows = panel.get_range(START, END)
+    assert list((tmp_path / "kept").glob("*.parquet")) and len(rows) > 200
+    assert not (tmp_path / "kept").exists()  # once the driver has the rows they are dropped
+
+
+def test_batch_raises_when_it_ends(spark):
+    df = spark.createDataFrame([(date(2024, 1, 1), 1)], "as_of_date date, id long").withColumn("value", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"), batch():
+        Panel.from_table(df, AllDays()).get_range(START, END)
+
+
 def test_rolling_rank(panel, raw):
     want = raw.set_index(["as_of_date", "id"]).sort_index()[["value"]].groupby(level="id", group_keys=False).rolling(5, min_periods=2).rank()
     rows = panel.select(["value"]).rolling(5, "rank", 2).to_pandas(START, END)
